@@ -9,9 +9,10 @@ A candidate pair is a link if its alignment is good enough: k-mers matched in or
 diagonals that a similar pair can use, over all k-mers of both (matched / (n + m - matched)), is SIMILARITY or more. Classes
 are the connected components of links; a class's id is its least doc_id.
 
-Equal word sequences are one document to begin with. In a bucket (documents of equal sketch) the members are compared with
-a few hubs, then, while members in different components remain, with several times as many, until all pairs of different
-components have been compared. So copies cost one comparison each, whatever the size of their group, and no link is lost.
+Equal word sequences are one document to begin with. In a bucket (documents of equal sketch) all members are compared with
+HUBS of them, picked by a hash. A bucket that holds more than these and still several components is split by the next sketches
+(two together, four, eight, all), and each part gets hubs of its own: the more alike documents are, the longer they stay
+together. So each member costs a fixed number of comparisons in each of at most five rounds, whatever the size of its group.
 
 A null text is in a class of its own. Texts without words are equal only as written. Texts with fewer words than a k-mer are
 copies only if their words are equal. Rows with the same doc_id give a row each, and so do null ids (their class id is the
@@ -34,8 +35,8 @@ from .words import ALNUM, hashes, mix, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, ORDER = 16, 3
-#: Hubs in the first round; each later round has HUBS_GROW times as many.
-HUBS, HUBS_GROW = 2, 8
+#: Members of a bucket that all others are compared with.
+HUBS = 2
 TOGETHER = 1 << 20
 
 
@@ -193,7 +194,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     e, before = edges, None
     while True:
-        e = materialize(turn(turn(e, True).distinct(), False).where("a != b").distinct())
+        e = materialize(turn(turn(e, True), False).where("a != b").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -206,31 +207,32 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     all_docs = materialize(signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
     texts = all_docs.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     reps = materialize(texts.select("key", "rep", "n", F.when(F.col("rep").isNotNull(), F.col("sketches")).alias("sketches")))
-    member = reps.where("n > 0").select(F.posexplode("sketches").alias("band", "value"), F.col("rep").alias("id"), "n").select(F.xxhash64("band", "value").alias("bucket"), "id", "n")
-    crowded = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    member = materialize(member.join(crowded, "bucket"))
-    hubs_now, links, comp, tested = HUBS, None, None, None
+    member = reps.where("n > 0").select(F.posexplode("sketches").alias("band", "value"), F.col("rep").alias("id"), "n").select(F.xxhash64("band", "value").alias("bucket"), "band", "id", "n")
+    crowded = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    now = materialize(member.join(crowded, "bucket").withColumn("comp", F.col("id")))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    width, links, comp, tested = 1, None, None, None
     while True:
-        now = member.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")) if comp is not None else member.withColumn("comp", F.col("id"))
-        if comp is not None:  # buckets whose members are in one component, or have all been hubs, are done
-            open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("size").alias("size")).where((F.col("lo") != F.col("hi")) & (F.col("size") > hubs_now // HUBS_GROW)).select("bucket")
-            now = materialize(now.join(open_, "bucket"))
-            if now.isEmpty():
-                break
         first = Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket"), "id")
-        hub = now.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= hubs_now).select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+        hub = now.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= HUBS).select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
         near = (F.least("n", "hub_n") >= least * F.greatest("n", "hub_n")) & (F.col("comp") != F.col("hub_comp"))
         pairs = now.join(hub, "bucket").where(near).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.union(pairs)
         ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         found = verified(pairs, with_ids(source, ids).dropDuplicates(["doc_id"]), least)
         links = materialize(found if links is None else links.union(found))
         comp = materialize(components(links))
-        hubs_now *= HUBS_GROW
+        width *= 2
+        if width > SKETCHES:
+            break
+        now = materialize(now.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where((F.col("lo") != F.col("hi")) & (F.col("size") > HUBS)).select("bucket")
+        rest = now.join(open_, "bucket", "left_semi")
+        ring = F.slice(F.concat("sketches", "sketches"), F.col("band") + 1, F.lit(width))
+        now = materialize(rest.join(reps.select(F.col("rep").alias("id"), "sketches"), "id").select(F.xxhash64("band", ring).alias("bucket"), "band", "id", "n", "comp"))
+        if now.isEmpty():
+            break
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     known = reps.select("key", "rep").join(comp, F.col("rep") == F.col("id"), "left").drop("id").join(degree, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("comp", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = all_docs.select("doc_id", "key").join(known, "key", "left")
