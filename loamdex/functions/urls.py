@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_query(url: Column) -> Column:
     """Without query and fragment."""
     return F.regexp_replace(url, r"(?s)[?#].*$", "")
@@ -83,24 +90,32 @@ def lookup(h: Column, rules: list[tuple[str, bool, bool]]) -> Column:
 
 
 def normalize(url: Column, rules: list[tuple[str, bool, bool]]) -> Column:
-    url = cleaned(url)
-    rule = lookup(host(url), rules)
-    return normalized(url, rule["suffix"], rule["wildcard"], rule["exception"])
+    def ruled(clean: Column) -> Column:
+        return once(F.struct(clean.alias("url"), lookup(host(clean), rules).alias("r")), lambda x: normalized(x["url"], x["r"]["suffix"], x["r"]["wildcard"], x["r"]["exception"]))
+
+    return once(once(strip_query(url), lambda u: ascii_lower(with_slash(u))), ruled)
 
 
 def percent_encoded(url: Column) -> Column:
     """Characters beyond ASCII as their UTF-8 bytes."""
+    return once(url, _percent_encoded)
+
+
+def _percent_encoded(url: Column) -> Column:
     coded = F.array_join(F.transform(F.split(url, ""), lambda c: F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(F.url_encode(c))), "")
     return F.when(url.rlike(r"[^\x00-\x7F]"), coded).otherwise(url)
 
 
 def resolve(base: Column, ref: Column) -> Column:
     """A reference against a base URL: absolute, with a host, from the root, or below the base. Dot segments are folded."""
+    return once(F.struct(base.alias("base"), ref.alias("ref")), lambda x: once(_resolved(x["base"], x["ref"]), lambda u: F.when(u.rlike(r"/\.\.?(?:/|$)"), _folded(u)).otherwise(u)))
+
+
+def _resolved(base: Column, ref: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([^:]*:)", 1)
     root = F.regexp_extract(base, r"^([^:]*://[^/]*)", 1)
     below = F.concat(F.regexp_extract(strip_query(base), r"(?s)^(.*/)", 1), ref)
-    joined = F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref).when(ref.startswith("//"), F.concat(scheme, ref)).when(ref.startswith("/"), F.concat(root, ref)).when(ref == "", base).when(ref.rlike("^[?#]"), F.concat(strip_query(base), ref)).otherwise(below)
-    return F.when(joined.rlike(r"/\.\.?(?:/|$)"), _folded(joined)).otherwise(joined)
+    return F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref).when(ref.startswith("//"), F.concat(scheme, ref)).when(ref.startswith("/"), F.concat(root, ref)).when(ref == "", base).when(ref.rlike("^[?#]"), F.concat(strip_query(base), ref)).otherwise(below)
 
 
 def _folded(url: Column) -> Column:

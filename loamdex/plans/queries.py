@@ -201,7 +201,9 @@ def page_links(spark, sf_dir):
 
 
 def _resolved(spark, sf_dir) -> DataFrame:
-    rows = _links(spark, sf_dir).withColumn("link", U.percent_encoded(U.resolve(U.normalize(F.col("url"), PSL), F.col("href"))))
+    bases = pages(spark, sf_dir).select("page_id", "html", U.normalize(F.col("url"), PSL).alias("base"))
+    rows = bases.select("page_id", "base", F.posexplode(H.links(F.col("html"))).alias("pos", "href")).withColumn("pos", F.col("pos").cast("bigint"))
+    rows = rows.withColumn("link", U.percent_encoded(U.resolve(F.col("base"), F.col("href"))))
     return rows.select("page_id", "pos", "link", U.normalize(F.col("link"), PSL).alias("dst_url"))
 
 
