@@ -10,9 +10,11 @@ diagonals that a similar pair can use, over all k-mers of both (matched / (n + m
 are the connected components of links; a class's id is its least doc_id.
 
 Equal word sequences are one document to begin with. In a bucket (documents of equal sketch) all members are compared with
-HUBS of them, picked by a hash. A bucket that holds more than these and still several components is split by the next sketches
-(two together, four, eight, all), and each part gets hubs of its own: the more alike documents are, the longer they stay
-together. So each member costs a fixed number of comparisons in each of at most five rounds, whatever the size of its group.
+HUBS of them, picked by a hash, which gives most links and a first set of components. Where a bucket still holds several
+components, every member outside its largest one is then compared with every member of another component, in blocks of
+bounded size: a task holds one block of each side, counts the k-mers that each pair has in common (no less than an alignment
+can match) and aligns the pairs for which that is enough. So no candidate pair is left out but those already in one class,
+and links, not pairs, leave a task. n_links counts the links found, which need not be all within a class.
 
 A null text is in a class of its own. Texts without words are equal only as written. Texts with fewer words than a k-mer are
 copies only if their words are equal. Rows with the same doc_id give a row each, and so do null ids (their class id is the
@@ -37,6 +39,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, ORDER = 16, 3
 #: Members of a bucket that all others are compared with.
 HUBS = 2
+#: A block of a bucket has about so many members and k-mers at most.
+BLOCK_ROWS, BLOCK_KMERS = 256, 1 << 19
+#: k-mers whose incidence matrix is held at once.
+COLUMNS = 1 << 13
 TOGETHER = 1 << 20
 
 
@@ -178,6 +184,83 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many k-mers each of left has in common with each of right, repeats counted."""
+    counts = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for own in (left, right):
+        sides.append((np.concatenate([labelled(x) for x in own]), np.repeat(np.arange(len(own)), [len(x) for x in own])))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    for c in range(0, len(shared), COLUMNS):
+        part, has = shared[c : c + COLUMNS], []
+        for (kmers, row), own in zip(sides, (left, right), strict=True):
+            at = np.minimum(np.searchsorted(part, kmers), len(part) - 1)
+            hit = part[at] == kmers
+            m = np.zeros((len(own), len(part)), np.float32)
+            m[row[hit], at[hit]] = 1
+            has.append(m)
+        counts += has[0] @ has[1].T
+    return counts
+
+
+def between(docs: DataFrame, member: DataFrame, least: float) -> DataFrame:
+    """Links (a, b, comp_a, comp_b) between components that share a bucket. docs: doc_id, text; member: bucket, id, n, comp."""
+    small_batches(docs.sparkSession)
+    each = member.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("kmers"))
+    most = F.max(F.struct("size", "comp", "kmers"))
+    held = each.groupBy("bucket").agg(F.sum("size").alias("size"), F.sum("kmers").alias("kmers"), F.count("*").alias("comps"), most.alias("most"))
+    parts = lambda size, kmers: F.ceil(F.greatest(size / BLOCK_ROWS, kmers / BLOCK_KMERS)).cast("int")
+    held = held.where((F.col("comps") > 1) & (F.col("size") > HUBS + 1)).select(
+        "bucket", F.col("most.comp").alias("main"), parts(F.col("size") - F.col("most.size"), F.col("kmers") - F.col("most.kmers")).alias("outer_parts"), parts(F.col("size"), F.col("kmers")).alias("all_parts")
+    )
+    split = materialize(member.join(held, "bucket").withColumn("is_main", F.col("comp") == F.col("main")))
+    of = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = split.where(~F.col("is_main")).select("bucket", "id", "comp", "is_main", F.lit(True).alias("asks"), of("outer_parts").alias("i"), every("all_parts").alias("j"))
+    whole = split.select("bucket", "id", "comp", "is_main", F.lit(False).alias("asks"), every("outer_parts").alias("i"), of("all_parts").alias("j"))
+
+    def kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = utf8(b.column("text"))
+            for i, j in blocks(at, TOGETHER):
+                low, starts, ends, first = words(data[at[i] : at[j]], at[i : j + 1] - at[i], ALNUM)
+                h = hashes(low, starts, ends)
+                own = [shingles(h[first[k] : first[k + 1]]).tobytes() for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(own, pa.binary())], ["id", "kmers"])
+
+    def links(group: pa.Table) -> pa.Table:
+        ids, comp, main, asks = (group.column(c).to_numpy() for c in ("id", "comp", "is_main", "asks"))
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("kmers")]
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found: list[tuple[int, int, int, int]] = []
+        if len(left) and len(right):
+            n = np.array([len(x) for x in own])
+            counts = common([own[x] for x in left], [own[x] for x in right])
+            need = least / (1 + least) * (n[left][:, None] + n[right][None, :])
+            open_ = (counts >= need - 1e-6) & (comp[left][:, None] != comp[right][None, :]) & (main[right][None, :] | (ids[left][:, None] < ids[right][None, :]))
+            of: dict[int, int] = {}  # components joined here
+
+            def top(c: int) -> int:
+                while c in of:
+                    c = of[c]
+                return c
+
+            x, y = np.nonzero(open_)
+            for k in np.argsort(-(counts[x, y] / need[x, y]), kind="stable"):
+                a, b = left[x[k]], right[y[k]]
+                u, v = top(comp[a]), top(comp[b])
+                if u != v and similarity(own[a], own[b], least) >= least:
+                    of[max(u, v)] = min(u, v)
+                    found.append((ids[a], ids[b], comp[a], comp[b]) if ids[a] < ids[b] else (ids[b], ids[a], comp[b], comp[a]))
+        cols = list(zip(*found, strict=True)) or [()] * 4
+        return pa.table({c: pa.array(np.array(v, np.int64)) for c, v in zip(("a", "b", "comp_a", "comp_b"), cols, strict=True)})
+
+    ids = materialize(split.select(F.col("id").alias("doc_id")).distinct())
+    texts = with_ids(docs, ids).dropDuplicates(["doc_id"]).mapInArrow(kmers, "id long, kmers binary")
+    both = outer.unionByName(whole).join(texts, "id")
+    return both.groupBy("bucket", "i", "j").applyInArrow(links, "a long, b long, comp_a long, comp_b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, comp (least id) of all ids in edges (a, b), by turns of linking larger, then smaller neighbours to the least."""
 
@@ -209,30 +292,21 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     reps = materialize(texts.select("key", "rep", "n", F.when(F.col("rep").isNotNull(), F.col("sketches")).alias("sketches")))
     member = reps.where("n > 0").select(F.posexplode("sketches").alias("band", "value"), F.col("rep").alias("id"), "n").select(F.xxhash64("band", "value").alias("bucket"), "band", "id", "n")
     crowded = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    now = materialize(member.join(crowded, "bucket").withColumn("comp", F.col("id")))
+    now = materialize(member.join(crowded, "bucket").drop("band"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    width, links, comp, tested = 1, None, None, None
-    while True:
-        first = Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket"), "id")
-        hub = now.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= HUBS).select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-        near = (F.least("n", "hub_n") >= least * F.greatest("n", "hub_n")) & (F.col("comp") != F.col("hub_comp"))
-        pairs = now.join(hub, "bucket").where(near).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.union(pairs)
-        ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        found = verified(pairs, with_ids(source, ids).dropDuplicates(["doc_id"]), least)
-        links = materialize(found if links is None else links.union(found))
-        comp = materialize(components(links))
-        width *= 2
-        if width > SKETCHES:
-            break
-        now = materialize(now.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-        open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where((F.col("lo") != F.col("hi")) & (F.col("size") > HUBS)).select("bucket")
-        rest = now.join(open_, "bucket", "left_semi")
-        ring = F.slice(F.concat("sketches", "sketches"), F.col("band") + 1, F.lit(width))
-        now = materialize(rest.join(reps.select(F.col("rep").alias("id"), "sketches"), "id").select(F.xxhash64("band", ring).alias("bucket"), "band", "id", "n", "comp"))
-        if now.isEmpty():
-            break
+    first = Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket"), "id")
+    hub = now.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= HUBS).select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"))
+    near = (F.least("n", "hub_n") >= least * F.greatest("n", "hub_n")) & (F.col("id") != F.col("hub"))
+    pairs = materialize(now.join(hub, "bucket").where(near).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    links = materialize(verified(pairs, with_ids(source, ids).dropDuplicates(["doc_id"]), least))
+    comp = materialize(components(links))
+    more = materialize(between(source, now.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")), least))
+    if not more.isEmpty():
+        links = links.union(more.select("a", "b"))
+        joined = components(more.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(F.col("id").alias("old"), F.col("comp").alias("new"))
+        ends = more.select(F.col("a").alias("id"), F.col("comp_a").alias("comp")).union(more.select("b", "comp_b")).distinct()
+        comp = comp.union(ends.join(comp, "id", "left_anti")).join(joined, F.col("comp") == F.col("old"), "left").select("id", F.coalesce("new", "comp").alias("comp"))
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     known = reps.select("key", "rep").join(comp, F.col("rep") == F.col("id"), "left").drop("id").join(degree, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("comp", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = all_docs.select("doc_id", "key").join(known, "key", "left")

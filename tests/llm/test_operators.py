@@ -185,3 +185,32 @@ def test_empty_table(spark, docs):
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    """A group of unlike near copies, in which many pairs are near the threshold: classes as by comparing all pairs."""
+    r = np.random.default_rng(11)
+    base = [f"w{x}" for x in r.integers(0, 10_000, 120)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for at in r.integers(0, 120, r.integers(0, 7)):
+            w[at] = f"x{r.integers(10**6)}"
+        texts.append(" ".join(w))
+    rows = order_minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    own = []
+    for t in texts:
+        low, starts, ends, _ = order_minhash.words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), order_minhash.ALNUM)
+        own.append(order_minhash.shingles(order_minhash.hashes(low, starts, ends)))
+    want = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if want[i] != want[j] and order_minhash.similarity(own[i], own[j]) >= 0.8:
+                want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    assert 1 < len(set(want)) < 150
+    assert [r.class_id for r in sorted(rows)] == want
+
+
+def test_common_counts_repeats():
+    a, b = np.array([1, 1, 2, 3], np.uint64), np.array([1, 1, 1, 3], np.uint64)
+    assert order_minhash.common([a, b], [b]).tolist() == [[3.0], [4.0]]
