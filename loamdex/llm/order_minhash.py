@@ -213,7 +213,8 @@ def between(docs: DataFrame, member: DataFrame, least: float) -> DataFrame:
     held = held.where((F.col("comps") > 1) & (F.col("size") > HUBS + 1)).select(
         "bucket", F.col("most.comp").alias("main"), parts(F.col("size") - F.col("most.size"), F.col("kmers") - F.col("most.kmers")).alias("outer_parts"), parts(F.col("size"), F.col("kmers")).alias("all_parts")
     )
-    split = materialize(member.join(held, "bucket").withColumn("is_main", F.col("comp") == F.col("main")))
+    # written first: a join that stands directly on an aggregate cannot have its skewed partitions split
+    split = materialize(member.join(materialize(held), "bucket").withColumn("is_main", F.col("comp") == F.col("main")))
     of = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outer = split.where(~F.col("is_main")).select("bucket", "id", "comp", "is_main", F.lit(True).alias("asks"), of("outer_parts").alias("i"), every("all_parts").alias("j"))
