@@ -295,7 +295,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     now = materialize(member.join(crowded, "bucket").drop("band"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket"), "id")
-    hub = now.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= HUBS).select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"))
+    # written first: a join that stands directly on a window cannot have its skewed partitions split
+    hub = materialize(now.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= HUBS).select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n")))
     near = (F.least("n", "hub_n") >= least * F.greatest("n", "hub_n")) & (F.col("id") != F.col("hub"))
     pairs = materialize(now.join(hub, "bucket").where(near).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
