@@ -22,25 +22,32 @@ def with_origins(found: DataFrame) -> DataFrame:
     return found.select("seq", F.explode(both).alias("x")).select("x.url", "seq", "x.part")
 
 
-def _written(df: DataFrame, spark: SparkSession) -> DataFrame:
+def _written(df: DataFrame, paths: list[str]) -> DataFrame:
+    """df written and read again; its path is added to paths."""
+    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loamdex-")
-    path = f"{root.rstrip('/')}/frontier-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    paths.append(f"{root.rstrip('/')}/frontier-{uuid.uuid4().hex}")
+    df.write.parquet(paths[-1])
+    return spark.read.schema(df.schema).parquet(paths[-1])
 
 
-def breadth_first(seeds: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
-    """id, depth of all that is reached from seeds (id) over edges (src, dst) in so many levels: a written table each level,
-    so that the plan stays short and a lost executor costs no more than a level."""
+def breadth_first(seeds: DataFrame, edges: DataFrame, levels: int | None = None, most: int | None = None) -> DataFrame:
+    """id, depth of all that is reached from seeds (id) over edges (src, dst): until nothing new is found, or in so many
+    levels, or until whole levels hold `most` ids. A written table each level, all read by one scan, so that the plan stays
+    short and a lost executor costs no more than a level."""
     spark = seeds.sparkSession
-    front = _written(seeds.select("id", F.lit(0).alias("depth")).distinct(), spark)
-    seen = front
-    for depth in range(1, levels + 1):
-        step = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-        front = _written(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), spark)
-        if front.isEmpty():
+    paths: list[str] = []
+    front = _written(seeds.select("id", F.lit(0).alias("depth")).distinct(), paths)
+    seen, depth, n = front, 0, front.count()
+    while (levels is None or depth < levels) and (most is None or n < most):
+        depth += 1
+        step = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").cast(seeds.schema["id"].dataType).alias("id")).distinct()
+        front = _written(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), paths)
+        new = front.count()
+        if new == 0:
             break
-        seen = seen.unionByName(front)
+        n += new
+        seen = spark.read.schema(front.schema).parquet(*paths)
     return seen
 
 

@@ -357,21 +357,27 @@ _EDGES = "(SELECT doc_id AS src, (7 * doc_id + 1) % n AS dst FROM documents, (SE
 _BFS = f"WITH RECURSIVE e AS {_EDGES}, r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.id = e.src WHERE r.depth < {LEVELS}) SELECT id, min(depth)::INT AS depth FROM r GROUP BY id"
 
 
-def _bfs(spark, sf_dir) -> DataFrame:
+def _bfs(spark, sf_dir, levels: int | None = None, most: int | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     n = docs.count()
     edges = docs.select(F.col("doc_id").alias("src"), F.explode(F.array((7 * F.col("doc_id") + 1) % n, (3 * F.col("doc_id") + 2) % n)).alias("dst"))
-    return frontier.breadth_first(spark.range(1).select("id"), edges, LEVELS)
+    return frontier.breadth_first(spark.range(1).select("id"), edges, levels, most)
 
 
 @query(_BFS)
 def crawl_bfs(spark, sf_dir):
+    """The first LEVELS levels only, as its SQL has them; crawl_bfs_all has no such bound."""
+    return _bfs(spark, sf_dir, LEVELS)
+
+
+@query(f"WITH RECURSIVE e AS {_EDGES}, r(id, depth) USING KEY (id) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.id = e.src WHERE e.dst NOT IN (SELECT id FROM recurring.r)) SELECT id, depth FROM r")
+def crawl_bfs_all(spark, sf_dir):
     return _bfs(spark, sf_dir)
 
 
 @query(f"SELECT * FROM ({_BFS}) ORDER BY depth, id LIMIT 11")
 def crawl_budget(spark, sf_dir):
-    return frontier.within_budget(_bfs(spark, sf_dir), 10, "depth", "id")
+    return frontier.within_budget(_bfs(spark, sf_dir, most=11), 10, "depth", "id")
 
 
 @query(f"SELECT page_id, row_number() OVER (ORDER BY page_id) AS nth FROM ({_ALLOWED}) WHERE allowed AND page_id IN (SELECT page_id FROM pages ORDER BY page_id LIMIT 101)")
