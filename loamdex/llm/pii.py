@@ -2,8 +2,9 @@
 
 Generators with high recall propose spans, which may overlap: runs of digits with separators, spelt-out e-mail addresses,
 and account numbers that begin with letters. Boosted trees score each by its format and context; a kind's threshold is the least one that
-keeps PRECISION on candidates held out from fitting. Base spans (email, ip, card, phone by fixed rules) always stay; a
-candidate that overlaps one is dropped. The trees become CASE expressions; fitting sees at most SAMPLE documents' candidates.
+keeps PRECISION on the candidates of all documents that are held out from fitting. Base spans (email, ip, card, phone by fixed
+rules) always stay; a candidate that overlaps one is dropped. The trees become CASE expressions; they are fitted to candidates
+of at most SAMPLE documents for each kind, so that a rare kind is not missed by a sample of all.
 Nobody labelled the candidates, so the trees learn from rules that are strict about format (base spans, numbers
 with brackets and groups, spelt-out addresses with both marks) and generalise from them to looser forms.
 
@@ -19,15 +20,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sample_ids, table
+from .common import materialize, sample_ids, table
 from .spans import SPAN, digits, joined, let, luhn, none, ordered, redacted, spans
 
 BASE = ["email", "ip", "card", "phone"]
 #: Kinds that the method adds, by the generators' names.
 ADDED = ["number", "spelt_email", "account"]
 KINDS = BASE + ADDED
-#: Documents whose candidates the trees are fitted to at most; trees, their depth and step; precision asked of thresholds.
+#: Documents with candidates of a kind that the trees are fitted to at most; trees, their depth and step; precision asked of thresholds.
 SAMPLE, TREES, DEPTH, SHRINK, PRECISION = 5000, 12, 3, 0.3, 0.95
+#: Bins of the scores for each unit, in which candidates are counted for the thresholds.
+BINS = 1000
 CONTEXT = 32
 _LOCAL = "[A-Za-z0-9._%+-]"
 # The base patterns, with possessive forms that match the same spans in linear time.
@@ -143,27 +146,45 @@ class Trees:
         return total
 
 
+def _cuts(trees: Trees, rows: DataFrame) -> dict[str, float]:
+    """A threshold for each kind: the least bin of scores down to which PRECISION holds on all candidates kept from fitting
+    or, where no strict one is among them, on all. Only counts by bin reach the driver."""
+    bins = rows.groupBy("kind", (F.col("part") == 0).alias("apart"), F.floor(trees.column(F.col("x")) * BINS).alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("good")).collect()
+    out = {}
+    for kind in ADDED:
+        own = [r for r in bins if r.kind == kind]
+        apart = [r for r in own if r.apart]
+        out[kind], n, good = math.inf, 0, 0
+        by: dict[int, list[int]] = {}
+        for r in apart if any(r.good for r in apart) else own:
+            at = by.setdefault(r.bin, [0, 0])
+            at[0], at[1] = at[0] + r.n, at[1] + r.good
+        for k in sorted(by, reverse=True):
+            n, good = n + by[k][0], good + by[k][1]
+            if good >= PRECISION * n:
+                out[kind] = k / BINS - 1e-9
+    return out
+
+
 def fit(docs: DataFrame, most: int = SAMPLE) -> tuple[Trees, dict[str, float]] | None:
-    """Trees and a threshold for each kind, from the candidates of at most so many documents; None without candidates."""
-    ids = sample_ids(docs.select("doc_id"), most).distinct()
-    some = candidates(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"))
+    """Trees, from the candidates of at most so many documents that have some of a kind, for each kind; and thresholds from
+    the candidates of all documents. None without candidates."""
     text = F.coalesce("text", F.lit(""))
-    rows = some.where(F.size("proposed") > 0).select(F.explode(F.transform("proposed", lambda s: F.struct(_features(text, s).alias("x"), _strict(F.col("base"), s).cast("int").alias("y"), F.pmod(F.xxhash64(s["value"]), F.lit(3)).alias("part"), s["kind"].alias("kind")))).alias("c")).select("c.*").collect()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r.part, r.kind, r.y, r.x))
-    x, y, part = np.array([r.x for r in rows]), np.array([r.y for r in rows], float), np.array([r.part for r in rows])
-    if y[part > 0].size == 0:
+    one = lambda s: F.struct(_features(text, s).alias("x"), _strict(F.col("base"), s).cast("int").alias("y"), F.pmod(F.xxhash64(s["value"]), F.lit(3)).alias("part"), s["kind"].alias("kind"))
+    own = candidates(docs.select("doc_id", "text")).where(F.size("proposed") > 0)
+    rows = materialize(own.select("doc_id", F.explode(F.transform("proposed", one)).alias("c")).select("doc_id", "c.*"))
+    some = []
+    for kind in ADDED:
+        of = rows.where((F.col("kind") == kind) & F.col("doc_id").isNotNull())
+        ids = sample_ids(of.select("doc_id").distinct(), most)
+        some += of.join(F.broadcast(ids), "doc_id", "left_semi").select("x", "y", "part", "kind").collect()
+    if not some:
         return None
-    trees = Trees(x[part > 0], y[part > 0])
-    score, cut = trees.margin(x), {}
-    for i, kind in enumerate(ADDED):
-        own = (x[:, -1] == i + 1) & (part == 0)
-        order = np.argsort(-score[own], kind="stable")
-        s, good = score[own][order], np.cumsum(y[own][order])
-        fine = np.flatnonzero((good / np.arange(1, len(good) + 1) >= PRECISION) & (np.append(s[1:], -np.inf) < s))
-        cut[kind] = float(s[fine[-1]]) - 1e-9 if len(fine) else math.inf
-    return trees, cut
+    some.sort(key=lambda r: (r.part, r.kind, r.y, r.x))
+    x, y, part = np.array([r.x for r in some]), np.array([r.y for r in some], float), np.array([r.part for r in some])
+    use = part > 0 if (part > 0).any() else part == 0
+    trees = Trees(x[use], y[use])
+    return trees, _cuts(trees, rows)
 
 
 def find(docs: DataFrame, model: tuple[Trees, dict[str, float]] | None) -> DataFrame:
