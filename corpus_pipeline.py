@@ -1,8 +1,8 @@
 """A corpus pipeline: language, toxicity, near duplicates, personal data, packing. Counted as part of loamdex.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs. All
-but the last keep the columns of documents. Rows with a null doc_id stay unless a stage rejects their text; a document
-without a decision (null id) is kept.
+but the last keep the columns of documents. Decisions are taken for each row, by a key of its own: rows with a null doc_id,
+or with one that other rows have too, stay or go by their own text. Of equal rows one stays.
 """
 
 from __future__ import annotations
@@ -17,28 +17,45 @@ from loamdex.llm.common import materialize, table
 from loamdex.llm.tokens import vocabulary
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs whose doc_id is not in rejected (distinct ids)."""
-    return docs.join(rejected, "doc_id", "left_anti")
+ROW = "loamdex_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, written, so that it stays the same: ids may be null, or shared by several rows."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    """What operators read, with the row's key as doc_id."""
+    return keyed.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows whose key is not in rejected (as doc_id), without the key."""
+    return keyed.join(rejected.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").drop(ROW)
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that the field is sure enough of."""
-    found = language.classify(docs, language.train(docs))
-    return _without(docs, found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < language.KEEP)).select("doc_id").distinct())
+    keyed = _keyed(docs)
+    found = language.classify(_by_row(keyed), language.train(docs))
+    return _without(keyed, found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < language.KEEP)))
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic by the network, which learns from the labels of documents still here."""
-    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return _without(docs, scored.where(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct())
+    keyed = _keyed(docs)
+    scored = toxicity.score(_by_row(keyed), toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return _without(keyed, scored.where(F.col("score") >= toxicity.THRESHOLD))
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class, and rows of a null id."""
-    classes = order_minhash.classes(docs)
-    later = classes.where(F.col("doc_id").isNotNull() & ~F.col("is_first")).select("doc_id").distinct()
-    return _without(docs, later)
+    """One row of each class: the one with the least doc_id, a null one last, and of these the first."""
+    keyed = _keyed(docs)
+    of = order_minhash.classes(_by_row(keyed)).select(F.col("doc_id").alias(ROW), "class_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    first = of.join(keyed.select(ROW, "doc_id"), ROW).groupBy("class_id").agg(F.min(place)[ROW].alias(ROW))
+    return keyed.join(first.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
