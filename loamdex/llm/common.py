@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -24,11 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder path under spark.checkpoint.dir; a temporary one only where that setting is unset."""
+    """A new folder path under spark.checkpoint.dir, which executors and driver share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="loamdex-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/loamdex-{uuid.uuid4().hex}"
 
 
@@ -53,6 +52,30 @@ def split_of(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % parts
 
 
+def sample_rows(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """At most so many rows of different `by`, those whose hash of it is lowest: deterministic for given rows, whatever is
+    repeated and however often. Only hashes meet in one task to find the bound; the rows kept are few."""
+    keyed = rows.withColumn("sample_hash", F.xxhash64(*(F.col(c).cast("string") for c in by), F.lit("sample")))
+    low = keyed.select("sample_hash").distinct().orderBy("sample_hash").limit(most).agg(F.count("*").alias("n"), F.max("sample_hash").alias("h")).first()
+    kept = keyed if low.n < most else keyed.where(F.col("sample_hash") <= F.lit(low.h))
+    return kept.dropDuplicates(["sample_hash"]).drop("sample_hash")
+
+
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What fit gives for rows, which must be a bounded sample: it runs in a task of its own, not in the driver, which gets
+    the model alone. A lost executor costs the task, which is run again."""
+    small_batches(rows.sparkSession)
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(held)), protocol=5)], pa.binary())], ["model"])
+
+    row = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row.model) if row else fit(pa.table({n: pa.array([], pa.null()) for n in names}))
+
+
 def sample_ids(labelled: DataFrame, most: int) -> DataFrame:
     """The rows of labelled (with doc_id) whose ids hash lowest: all of them, or about `most` (exactly, but for equal
     hashes). Only hashes reach the driver, never texts. Deterministic for given rows."""
