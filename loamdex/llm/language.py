@@ -13,6 +13,7 @@ Without a labelled row to learn from every text is `und`. Very long texts are la
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, sample_ids, small_batches, split_of, table, utf8, with_ids
+from .common import blocks, fitted, small_batches, split_of, table, utf8
 from .wordfeats import Distinct, find
+from .words import words as words_of
 
 SPAN = 64
-#: Labelled documents that the field is fitted to at most, words taken from each at most, hashed features, lexicon.
-SAMPLE, WORDS_EACH, SLOTS, LEXICON = 1500, 96, 1 << 14, 5000
+#: Labelled documents that the field is fitted to about, of any one language at least (if it has so many), languages learned
+#: (those with most documents), stretches of 4 to 24 words of a document at most, from all of its text.
+SAMPLE, LEAST_EACH, LANGUAGES, STRETCHES = 1500, 100, 200, 10
+#: Hashed features, lexicon.
+SLOTS, LEXICON = 1 << 14, 5000
 ROUNDS, RATE = 40, 0.15
 UNKNOWN = "und"
 #: The pipeline keeps documents whose language is at least so sure.
@@ -91,25 +96,32 @@ def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(first[1:][text] - start, SPAN), text
 
 
-def fit(texts: list[bytes], langs: list[str], seed: int = 11) -> Field | None:
-    if not texts:
+def stretches(text: bytes, most: int = STRETCHES) -> list[bytes]:
+    """A text cut into stretches of 4 to 24 words: all of them, or so many at random places of the whole text."""
+    _, starts, ends, _ = words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    if not len(starts):
+        return []
+    rng = np.random.default_rng(zlib.crc32(text))
+    cut = np.cumsum(rng.integers(4, 25, -(-len(starts) // 4)))
+    first = np.concatenate(([0], cut[cut < len(starts)]))
+    last = np.append(first[1:], len(starts)) - 1
+    pick = np.sort(rng.choice(len(first), most, replace=False)) if len(first) > most else np.arange(len(first))
+    return [text[starts[first[k]] : ends[last[k]]] for k in pick]
+
+
+def fit(texts: list[list[bytes]], langs: list[str], seed: int = 11) -> Field | None:
+    """A field learned from stretches of words of each text. Stretches of different texts are spliced into chains."""
+    flat = [(part, x) for t, x in zip(texts, langs, strict=True) for part in t]
+    if not flat:
         return None
     rng = np.random.default_rng(seed)
-    names = sorted(set(langs))
-    lang = np.array([names.index(x) for x in langs])
-    words = Distinct(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    names = sorted({x for _, x in flat})
+    lang = np.array([names.index(x) for _, x in flat])
+    words = Distinct(np.frombuffer(b"".join(t for t, _ in flat), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t, _ in flat]))))
     count = np.bincount(words.of, minlength=len(words))
     often = np.flatnonzero(count >= 3)
     field = Field(names, words.hash[np.sort(often[np.argsort(-count[often], kind="stable")[:LEXICON]])])
-    # chains: stretches of 4 to 24 words from documents at random, several languages in one chain
-    parts: list[tuple[int, int, int]] = []
-    for k in range(len(texts)):
-        a, b = words.first[k], words.first[k + 1]
-        taken = 0
-        while a < b and taken < WORDS_EACH:
-            n = min(int(rng.integers(4, 25)), b - a)
-            parts.append((a, n, lang[k]))
-            a, taken = a + n, taken + n
+    parts = [(words.first[k], words.first[k + 1] - words.first[k], lang[k]) for k in range(len(flat)) if words.first[k + 1] > words.first[k]]
     if not parts:
         return None
     of, gold = [], []
@@ -228,11 +240,28 @@ def label_words(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def train(docs: DataFrame, most: int = SAMPLE) -> Field | None:
-    """Fitted to at most so many documents with text and lang; remainder 2 of crc32(doc_id) modulo 4 is never learned from."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (split_of("doc_id", 4) != 2))
-    ids = sample_ids(known.select("doc_id"), most).distinct()
-    rows = sorted((r.doc_id, r.lang, r.text) for r in with_ids(known.select("doc_id", "lang", "text"), ids).collect())
-    return fit([t.encode() for _, _, t in rows], [x for _, x, _ in rows])
+    """Fitted, in one task, to about so many different documents with text and lang, of each language a share like its own or
+    LEAST_EACH; remainder 2 of crc32(doc_id) modulo 4 is never learned from. All rows are looked at to choose them."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (split_of("doc_id", 4) != 2)).select("doc_id", "lang", "text")
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not sizes:
+        return None
+    order = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("sample"))
+    share = lambda n: max(most * n / sum(sizes.values()), LEAST_EACH) / n
+    bound = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(int(share(n) * 2**64) - 2**63, 2**63 - 1))) for x, n in sizes.items()))
+    few = known.withColumn("order", order).where(F.col("order") <= bound).dropDuplicates(["order"])
+    small_batches(docs.sparkSession)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [stretches(t.as_buffer().to_pybytes()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("order"), b.column("lang"), pa.array(own, pa.list_(pa.binary()))], ["order", "lang", "parts"])
+
+    def learn(held: pa.Table) -> Field | None:
+        rows = sorted(zip(*(held[c].to_pylist() for c in ("order", "lang", "parts")), strict=True))
+        return fit([p for *_, p in rows], [x for _, x, _ in rows])
+
+    return fitted(few.mapInArrow(draw, "order long, lang string, parts array<binary>"), learn)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,6 @@ import numpy as np
 
 from .words import LETTERS, hashes, mix, words
 
-#: Bytes of the longest part of a word that its n-grams are taken from (at its start and at its end); its hash and its
-#: affixes come from all of it.
-PART = 24
-
 
 class Distinct:
     """Words of texts given as bytes and offsets: hash of each distinct word, which of them each word is, first word of each text."""
@@ -29,19 +25,14 @@ class Distinct:
         return out
 
     def padded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes of '<word>' one after the other, start of each and length; the middle of very long words is left out."""
-        n = self.ends - self.starts
-        head = np.minimum(n, PART)
-        tail = np.minimum(n - head, PART)
-        size = head + tail + 2
+        """Bytes of '<word>' one after the other, start of each and length."""
+        size = self.ends - self.starts + 2
         start = np.cumsum(size) - size
         out = np.full(int(size.sum()), ord("<"), np.uint8)
         k = np.arange(len(out)) - np.repeat(start, size)
-        h, s = np.repeat(head, size), np.repeat(size, size)
-        source = np.where(k - 1 < h, np.repeat(self.starts, size) + k - 1, np.repeat(self.ends, size) - (s - 1 - k))
-        inner = (k > 0) & (k < s - 1)
-        out[inner] = self.low[source[inner]]
-        out[k == s - 1] = ord(">")
+        inner = (k > 0) & (k < np.repeat(size, size) - 1)
+        out[inner] = self.low[(np.repeat(self.starts, size) + k - 1)[inner]]
+        out[start + size - 1] = ord(">")
         return out, start, size
 
     def grams(self, width: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
