@@ -3,7 +3,8 @@
 A word's input is a learned vector of the word (of a vocabulary) beside one of its characters: the mean of learned vectors
 of its character trigrams plus those of its first bytes. Windows of WINDOW words, each starting STRIDE words after the one before, are all scored; attention pools the
 states of both directions in each. A document's score comes from its two strongest windows, calibrated on training
-documents that the network has not seen. The network is trained in numpy on at most SAMPLE labelled documents.
+documents that the network has not seen. The network is trained in numpy on at most SAMPLE labelled documents, from random
+vectors, in a task of its own.
 
 Null texts count as empty. A text without words gets the score of a window without words. Repeated rows get equal scores,
 other columns are not read. Without labelled rows of both kinds every score is 0 and nothing is predicted toxic. An empty
@@ -12,6 +13,7 @@ table gives no rows. Very long texts are scored whole, window by window.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, sample_ids, small_batches, split_of, table, utf8, with_ids
+from .common import blocks, fitted, sample_rows, small_batches, split_of, table, utf8
 from .wordfeats import Distinct, find
+from .words import words as words_of
 
 WINDOW, STRIDE = 48, 24
 #: Labelled documents that the network is fitted to at most; words and trigrams with vectors of their own.
 SAMPLE, VOCABULARY, TRIGRAMS = 3000, 30_000, 4096
 #: Lengths in bytes of word beginnings with vectors of their own, and their hashed slots.
 HEADS, HEAD_SLOTS = (5, 7), 1 << 14
-WORD_DIM, CHAR_DIM, HIDDEN, STEPS, RATE = 8, 6, 8, 160, 0.01
+WORD_DIM, CHAR_DIM, HIDDEN, STEPS, RATE = 8, 6, 8, 320, 0.02
+#: Windows of a document, at random places of it, that the fit reads at most; how often toxic documents' windows are picked anew.
+EACH, REPICKS = 64, 7
 THRESHOLD = 0.7
 #: Bytes of text scored together.
 TOGETHER = 1 << 20
@@ -50,16 +55,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters by name, and passes over windows given as word vectors (time x windows x features)."""
 
-    def __init__(self, rng: np.random.Generator, vocabulary: np.ndarray, odds: np.ndarray, head_odds: list[np.ndarray]):
+    def __init__(self, rng: np.random.Generator, vocabulary: np.ndarray):
         self.vocabulary = vocabulary
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
         g = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
         self.p = {"word": g(len(vocabulary) + 1, WORD_DIM, scale=0.1), "char": g(TRIGRAMS, CHAR_DIM, scale=0.1), "v": g(2 * h, scale=0.3), "out": g(2 * h, scale=0.3), "bias": np.zeros(1, np.float32)}
-        self.p["word"][:-1, 0] = odds
         self.p["word"][-1] = 0
-        for k, o in zip(HEADS, head_odds, strict=True):
+        for k in HEADS:
             self.p[f"head{k}"] = g(HEAD_SLOTS, CHAR_DIM, scale=0.03)
-            self.p[f"head{k}"][:, 0] = o
         for side in "fb":
             self.p |= {f"w{side}": g(d, 3 * h, scale=d**-0.5), f"u{side}": g(h, 3 * h, scale=h**-0.5), f"c{side}": np.zeros(3 * h, np.float32)}
 
@@ -189,23 +192,28 @@ def strongest(logits: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.stack([top, np.where(np.isfinite(second), second, top), np.log(many), np.ones(len(many))], axis=1)
 
 
-def log_odds(unit: np.ndarray, text: np.ndarray, labels: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The units that are in three texts or more, the most frequent VOCABULARY of them, and how much likelier texts with
-    them are toxic (a logarithm), 0 where that may be chance."""
-    pairs = np.unique(text * np.int64(size) + unit)
-    of, label = pairs % size, labels[pairs // size]
-    n1, n0 = np.bincount(of, label, size), np.bincount(of, 1 - label, size)
-    often = np.flatnonzero(n0 + n1 >= 3)
-    often = np.sort(often[np.argsort(-(n0 + n1)[often], kind="stable")[:VOCABULARY]])
-    n1, n0 = n1[often] + 0.5, n0[often] + 0.5
-    there = labels[np.unique(text)]
-    value = np.log(n1 / (there.sum() + 1)) - np.log(n0 / ((1 - there).sum() + 1))
-    z = np.abs(value) / np.sqrt(1 / n1 + 1 / n0)
-    return often, np.clip(value * np.clip((z - 2.5) / 1.5, 0, 1), -2, 4).astype(np.float32)
+def known(unit: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
+    """The units that are in three texts or more, the most frequent VOCABULARY of them, in order."""
+    n = np.bincount(np.unique(text * np.int64(size) + unit) % size, minlength=size)
+    often = np.flatnonzero(n >= 3)
+    return np.sort(often[np.argsort(-n[often], kind="stable")[:VOCABULARY]])
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[Network, np.ndarray] | None:
-    """The network and the calibration's weights; None without texts of both labels."""
+def drawn(text: bytes, most: int = EACH) -> list[bytes]:
+    """The words of a text's windows, with a space between: all windows, or so many at random places of the whole text."""
+    low, starts, ends, first = words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    start, length, _ = windows(first)
+    if len(start) > most:
+        pick = np.sort(np.random.default_rng(zlib.crc32(text)).choice(len(start), most, replace=False))
+        start, length = start[pick], length[pick]
+    return [b" ".join(low[a:b].tobytes() for a, b in zip(starts[s : s + n], ends[s : s + n], strict=True)) for s, n in zip(start, length, strict=True)]
+
+
+def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> tuple[Network, np.ndarray] | None:
+    """The network and the calibration's weights, from the windows of each text; None without texts of both labels.
+
+    A toxic text need not be toxic all over: it teaches by all its windows at first and then, REPICKS times, by those that
+    the network itself finds strongest."""
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
@@ -214,43 +222,39 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[Network,
     own = np.arange(len(texts)) % 5 != 4  # a fifth is for calibration
     if labels[own].min() == labels[own].max() or labels[~own].size == 0 or labels[~own].min() == labels[~own].max():
         own = np.ones(len(texts), bool)
-    words = Distinct(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
-    text = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    mine = own[text]
-    vocabulary, odds = log_odds(words.of[mine], text[mine], labels, len(words))
-    heads = []
-    for k in HEADS:
-        slot, value = log_odds(words.affix(k, False, HEAD_SLOTS)[words.of[mine]], text[mine], labels, HEAD_SLOTS)
-        heads.append(np.zeros(HEAD_SLOTS, np.float32))
-        heads[-1][slot] = value
-    net = Network(rng, words.hash[vocabulary], odds, heads)
-    start, length, many = windows(words.first)
+    many = np.array([max(1, len(t)) for t in texts])
     of_text = np.repeat(np.arange(len(texts)), many)
-    # a toxic document teaches by its windows with the strongest words, a clean one by any
-    x = net.vectors(words)[0]
-    total = np.concatenate(([0], np.cumsum((np.maximum(x[:, 0], 0) + np.maximum(x[:, WORD_DIM], 0))[words.of])))
-    strength = total[start + length] - total[start] + rng.random(len(start)) * 1e-3
-    rank = np.lexsort((-np.where(labels[of_text] > 0, strength, rng.random(len(start))), of_text))
-    nth = np.arange(len(rank)) - np.repeat(np.cumsum(many) - many, many)
-    usable = rank[(nth < np.where(labels[of_text[rank]] > 0, 2, 6)) & own[of_text[rank]]]
-    y = labels[of_text]
+    flat = [w for t in texts for w in (t or [b""])]
+    words = Distinct(np.frombuffer(b"".join(flat), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in flat]))))
     if not len(words):
         return None
-    weight = np.where(y > 0, (1 - y[usable]).sum() / max(1, y[usable].sum()) * 0.5, 1.0)
+    start, length = words.first[:-1], np.diff(words.first)
+    text = of_text[np.repeat(np.arange(len(flat)), length)]
+    mine = own[text]
+    net = Network(rng, words.hash[known(words.of[mine], text[mine], len(words))])
+    y = labels[of_text]
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    size = 256
-    picks = np.concatenate([rng.permutation(usable) for _ in range(-(-STEPS * size // max(1, len(usable))))])
-    for t in range(1, STEPS + 1):
-        part = picks[(t - 1) * size : t * size]
-        grads, _ = net.step(words, start[part], length[part], y[part], weight[part], rng)
+    size, each = 256, STEPS // (REPICKS + 1)
+    for t in range(1, each * (REPICKS + 1) + 1):
+        if t % each == 1:
+            strength = net.logits(net.vectors(words)[0], words.of, start, length) if t > 1 else rng.random(len(flat))
+            rank = np.lexsort((-np.where(y > 0, strength, rng.random(len(flat))), of_text))
+            nth = np.arange(len(rank)) - np.repeat(np.cumsum(many) - many, many)
+            top = many if t == 1 else np.maximum(1, many // 4)
+            usable = rank[((y[rank] == 0) | (nth < np.repeat(top, many))) & own[of_text[rank]]]
+            # a text counts alike however many windows it has, and both labels do
+            share = 1 / np.bincount(of_text[usable], minlength=len(texts))[of_text[usable]]
+            p = np.where(y[usable] > 0, share / share[y[usable] > 0].sum() * 0.4, share / share[y[usable] == 0].sum() * 0.6)
+            picks = usable[rng.choice(len(usable), each * size, p=p / p.sum())]
+        part = picks[(t - 1) % each * size : ((t - 1) % each + 1) * size]
+        grads, _ = net.step(words, start[part], length[part], y[part], np.ones(len(part)), rng)
         for k, g in grads.items():
             m, v = state[k]
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            rate = RATE * (0.2 if k in ("word", "char") or k.startswith("head") else 1) * (1 - 0.9 * t / STEPS)
+            rate = RATE * (1 - 0.9 * t / STEPS)
             net.p[k] -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)).astype(np.float32)
-    x = net.vectors(words)[0]
-    seen = strongest(net.logits(x, words.of, start, length), many)
+    seen = strongest(net.logits(net.vectors(words)[0], words.of, start, length), many)
     held = ~own if (~own).any() else own
     f, target, w = seen[held], labels[held], np.array([1.0, 0, 0, 0])
     for _ in range(200):  # Newton steps for a logistic regression with a small ridge
@@ -285,13 +289,25 @@ def score(docs: DataFrame, model: tuple[Network, np.ndarray] | None) -> DataFram
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Network, np.ndarray] | None:
-    """Fitted to at most so many documents with a label; split of crc32(doc_id), remainder 1 of 3, is never learned from."""
-    known = labels.where(F.col("toxic").isNotNull() & (split_of("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = sample_ids(known.join(docs.select("doc_id"), "doc_id", "left_semi"), most)
-    label = {r.doc_id: r.toxic for r in chosen.collect()}
-    ids = docs.sparkSession.createDataFrame([(i,) for i in label], "doc_id long")
-    rows = sorted((r.doc_id, r.text) for r in with_ids(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids).collect())
-    return fit([t.encode() for _, t in rows], np.array([label[i] for i, _ in rows], np.float32))
+    """Fitted, in one task, to at most so many documents with a label; split of crc32(doc_id), remainder 1 of 3, is never
+    learned from. Of a document at most EACH windows are drawn, from all of its text. Rows that share an id share its label."""
+    labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (split_of("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # at most `most` ids, so their broadcast is bounded
+    ids = sample_rows(labelled.join(docs.select("doc_id"), "doc_id", "left_semi"), most, "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    small_batches(docs.sparkSession)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [drawn(t.as_buffer().to_pybytes()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("order"), b.column("toxic").cast(pa.int32()), pa.array(own, pa.list_(pa.binary()))], ["order", "toxic", "windows"])
+
+    def learn(held: pa.Table) -> tuple[Network, np.ndarray] | None:
+        rows = sorted(zip(*(held[c].to_pylist() for c in ("order", "windows", "toxic")), strict=True))
+        return fit([w for _, w, _ in rows], np.array([y for *_, y in rows], np.float32))
+
+    few = sample_rows(rows, most, "doc_id", "text").select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("order"), "text", "toxic")
+    return fitted(few.mapInArrow(draw, "order long, toxic int, windows array<binary>"), learn)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
