@@ -3,47 +3,47 @@
 A document is its sequence of words (letters and digits, lower case); its k-mers are SHINGLE words in a row, labelled by
 their occurrence number. Each of SKETCHES sketches takes the ORDER labelled k-mers of least hash and keeps them in the
 order of the text, so that two documents share a sketch with a probability that falls with their edit distance. Documents
-with an equal sketch and lengths that allow the similarity are candidates.
+with an equal sketch (a bucket) and lengths that allow the similarity are candidates.
 
-A candidate pair is a link if its alignment is good enough: k-mers matched in order, one to one, within the band of
-diagonals that a similar pair can use, over all k-mers of both (matched / (n + m - matched)), is SIMILARITY or more. Classes
-are the connected components of links; a class's id is its least doc_id.
+A candidate pair is a link if its words align well enough: words matched in order, one to one, within the band of diagonals
+that a similar pair can use, over all words of both (matched / (n + m - matched)), are SIMILARITY or more. Classes are the
+connected components of links; a class's id is its least doc_id, null only if none of its rows has one.
 
-Equal word sequences are one document to begin with. In a bucket (documents of equal sketch) all members are compared with
-HUBS of them, picked by a hash, which gives most links and a first set of components. Where a bucket still holds several
-components, every member outside its largest one is then compared with every member of another component, in blocks of
-bounded size: a task holds one block of each side, counts the k-mers that each pair has in common (no less than an alignment
-can match) and aligns the pairs for which that is enough. So no candidate pair is left out but those already in one class,
-and links, not pairs, leave a task. n_links counts the links found, which need not be all within a class.
+Equal word sequences are one text to begin with, whatever their ids: texts have ids of their own here, so several texts
+under one doc_id, or one text under several, do not disturb each other. In a bucket all members are compared with a hub, the
+member whose id has the least hash (so buckets of the same texts mostly have the same hub), which gives most links and a
+first set of components. Where a bucket still holds several components, every member outside its largest one is then
+compared with every member of another component, in blocks of bounded size: a task holds one block of each side, counts the
+words that each pair has in common (no less than an alignment can match) and aligns the pairs for which that is enough. So
+no candidate pair is left out but those already in one class, and links, not pairs, leave a task.
 
 A null text is in a class of its own. Texts without words are equal only as written. Texts with fewer words than a k-mer are
-copies only if their words are equal. Rows with the same doc_id give a row each, and so do null ids (their class id is the
-least id with that text, or null). Columns other than doc_id and text are not read; an empty table gives no rows.
+copies only if their words are equal. Rows with the same doc_id give a row each, and so do null ids. Columns other than
+doc_id (of any type that has an order) and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, small_batches, table, utf8, with_ids
+from .common import blocks, materialize, small_batches, table, utf8
 from .words import ALNUM, hashes, mix, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, ORDER = 16, 3
-#: Members of a bucket that all others are compared with.
-HUBS = 2
-#: A block of a bucket has about so many members and k-mers at most.
-BLOCK_ROWS, BLOCK_KMERS = 256, 1 << 19
-#: k-mers whose incidence matrix is held at once.
-COLUMNS = 1 << 13
+SKETCHES, ORDER = 24, 3
+#: A block of a bucket has about so many members and words at most.
+BLOCK_ROWS, BLOCK_WORDS = 256, 1 << 19
+#: Words whose incidence matrix is held at once; rows of an alignment that share a window of columns, at least.
+COLUMNS, ROWS = 1 << 13, 512
 TOGETHER = 1 << 20
+#: Texts to look up are sent to every executor only up to this count (about 40 bytes each); beyond it a shuffled join does it.
+BROADCAST_TEXTS = 100_000
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -76,68 +76,69 @@ def sketches(s: np.ndarray, count: int = SKETCHES, order: int = ORDER) -> np.nda
     """Order MinHash sketches of a text's k-mers, each as one 64-bit hash."""
     s = labelled(s)
     salts = np.arange(1, 2 * count, 2, dtype=np.uint64)[:, None] * np.uint64(0xA0761D6478BD642F)
-    picked = np.empty((count, min(order, len(s))), np.uint64)
-    at_once = max(1, (1 << 16) // len(s))  # sketches of short texts together
+    order = min(order, len(s))
+    picked = np.empty((count, order), np.int64)
+    at_once = max(1, (1 << 17) // len(s))  # sketches of short texts together
     for i in range(0, count, at_once):
-        if len(s) > order:
-            least = np.argpartition(mix(s ^ salts[i : i + at_once]), order - 1, axis=1)[:, :order]
-            least.sort(axis=1)  # back to the order of the text
-            picked[i : i + at_once] = s[least]
-        else:
-            picked[i : i + at_once] = s
+        own = salts[i : i + at_once]
+        h = (s ^ own) * (own | np.uint64(1))
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        row = np.arange(len(h))
+        for k in range(order):
+            least = h.argmin(axis=1)
+            picked[i : i + at_once, k] = least
+            h[row, least] = np.uint64(2**64 - 1)
+    picked.sort(axis=1)  # back to the order of the text
     out = np.arange(1, count + 1, dtype=np.uint64)
-    for k in range(picked.shape[1]):
-        out = mix(out * np.uint64(31) + picked[:, k])
+    for k in range(order):
+        out = mix(out * np.uint64(31) + s[picked[:, k]])
     return out
 
 
+def matched(a: list[int], b: list[int], band: int) -> int:
+    """Words of a and b that match in order, within a band of diagonals: a longest common subsequence, a row of the band in
+    one step of long integers. A block of rows shares a window of columns, so memory is a few windows."""
+    total, rows, n, m = 0, max(ROWS, 2 * band), len(a), len(b)
+    v, left, width = 0, 0, 0  # bit k of v is 0 where the count grows at column left + k
+    for i in range(0, n, rows):
+        lo, hi = max(0, min(m, i - band)), min(m, i + rows + band)
+        drop = min(lo - left, width)
+        total += drop - (v & ((1 << drop) - 1)).bit_count()  # columns that leave the window keep their count
+        v >>= drop
+        v |= ((1 << (hi - lo)) - 1) ^ ((1 << (width - drop)) - 1)
+        left, width = lo, hi - lo
+        full = (1 << width) - 1
+        where: dict[int, int] = {}
+        for k in range(lo, hi):
+            where[b[k]] = where.get(b[k], 0) | 1 << (k - lo)
+        for x in a[i : i + rows]:
+            y = where.get(x)
+            if y is not None:
+                u = v & y
+                v = ((v + u) | (v - u)) & full
+    return total + width - v.bit_count()
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Matched k-mers over all, by the best alignment within the band; or some value under `least`, if it is less."""
+    """Matched words over all, by the best alignment within the band; or some value under `least`, if it is less."""
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0
     need = least / (1 + least) * (n + m)  # matches of a similar pair
     if min(n, m) < need:
         return 0.0
-    band = int(n + m - 2 * need)
-    order = np.argsort(b, kind="stable")
-    t = b[order]
-    low, high = np.searchsorted(t, a, "left"), np.searchsorted(t, a, "right")
-    if np.count_nonzero(high > low) < need:
-        return 0.0
-    many = high - low
-    i = np.repeat(np.arange(n), many)
-    if len(i) > 64 * (n + m):  # so repetitive that rows of the whole band cost less
-        matched = _rows(a, b, band)
-    else:
-        k = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-        j = order[np.repeat(high, many) - 1 - k]  # for each i its matches from the last to the first
-        near = np.abs(i - j) <= band
-        ends: list[int] = []
-        for y in j[near].tolist():
-            if not ends or y > ends[-1]:
-                ends.append(y)
-            else:
-                ends[bisect_left(ends, y)] = y
-        matched = len(ends)
-    return matched / (n + m - matched)
-
-
-def _rows(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Longest common subsequence within a band of diagonals, a row of it at a time."""
-    best = np.zeros(len(b) + 1, np.int32)
-    for i in range(len(a)):
-        lo, hi = max(0, i - band), min(len(b), i + band + 1)
-        if lo >= hi:
-            continue
-        best[lo + 1 : hi + 1] = np.maximum.accumulate(np.maximum(best[lo + 1 : hi + 1], best[lo:hi] + (b[lo:hi] == a[i])))
-        best[hi + 1 :] = best[hi]
-    return int(best[-1])
+    head = int((np.append(a[: min(n, m)] != b[: min(n, m)], True)).argmax())  # equal words at both ends need no alignment
+    rest = min(n, m) - head
+    tail = int((np.append(a[n - rest :][::-1] != b[m - rest :][::-1], True)).argmax())
+    got = head + tail + matched(a[head : n - tail].tolist(), b[head : m - tail].tolist(), int(n + m - 2 * need) + 1)
+    return got / (n + m - got)
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the word sequence), n (k-mers), sketches of each document."""
+    """doc_id, text_hash, key (of the word sequence), n (words), sketches of each document (with doc_id, text, text_hash)."""
     small_batches(docs.sparkSession)
+    names = ["doc_id", "text_hash", "key", "n", "sketches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,46 +147,22 @@ def signed(docs: DataFrame) -> DataFrame:
             for i, j in blocks(at, TOGETHER):
                 low, starts, ends, first = words(data[at[i] : at[j]], at[i : j + 1] - at[i], ALNUM)
                 h = hashes(low, starts, ends)
-                key, size, sig = [], [], []
+                key, sig = [], []
                 for k in range(j - i):
                     own = h[first[k] : first[k + 1]]
                     raw = b"" if len(own) else data[at[i + k] : at[i + k + 1]].tobytes() + b"."
                     key.append(None if null[i + k] else hashlib.blake2b(own.tobytes() + raw, digest_size=16).digest())
                     s = shingles(own)
-                    size.append(len(s))
-                    sig.append(sketches(s).view(np.int64).tolist() if len(s) else [])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(key, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "key", "n", "sketches"])
+                    sig.append(sketches(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                size = np.cumsum([0] + [len(x) for x in sig]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate(sig)))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in names[:2]), pa.array(key, pa.binary()), pa.array(np.diff(first), pa.int64()), lists], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n long, sketches array<long>")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that are links. docs: doc_id, text, one row for each id in pairs."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, np.ndarray] | None = None
-
-        def own(text: bytes) -> np.ndarray:
-            data = np.frombuffer(text, np.uint8)
-            low, starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
-            return shingles(hashes(low, starts, ends))
-
-        for b in batches:
-            keep = []
-            for a, x, y in zip(b.column("a").to_pylist(), b.column("text_a"), b.column("text_b"), strict=True):
-                if held is None or held[0] != a:
-                    held = (a, own(x.as_buffer().to_pybytes()))
-                keep.append(similarity(held[1], own(y.as_buffer().to_pybytes()), least) >= least)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    text = lambda s: docs.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
-    both = pairs.join(text("a"), "a").join(text("b"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, key binary, n long, sketches array<long>")
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many k-mers each of left has in common with each of right, repeats counted."""
+    """How many words each of left has in common with each of right, repeats counted."""
     counts = np.zeros((len(left), len(right)), np.float32)
     sides = []
     for own in (left, right):
@@ -193,9 +170,9 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     shared = np.intersect1d(sides[0][0], sides[1][0])
     for c in range(0, len(shared), COLUMNS):
         part, has = shared[c : c + COLUMNS], []
-        for (kmers, row), own in zip(sides, (left, right), strict=True):
-            at = np.minimum(np.searchsorted(part, kmers), len(part) - 1)
-            hit = part[at] == kmers
+        for (own_words, row), own in zip(sides, (left, right), strict=True):
+            at = np.minimum(np.searchsorted(part, own_words), len(part) - 1)
+            hit = part[at] == own_words
             m = np.zeros((len(own), len(part)), np.float32)
             m[row[hit], at[hit]] = 1
             has.append(m)
@@ -203,35 +180,42 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def between(docs: DataFrame, member: DataFrame, least: float) -> DataFrame:
-    """Links (a, b, comp_a, comp_b) between components that share a bucket. docs: doc_id, text; member: bucket, id, n, comp."""
+def parts(size: str, n_words: str) -> Column:
+    """Into how many blocks so many members with so many words are split."""
+    return F.ceil(F.greatest(F.col(size) / BLOCK_ROWS, F.col(n_words) / BLOCK_WORDS, F.lit(1))).cast("int")
+
+
+def block(n: str) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit("block")), F.col(n)).cast("int")
+
+
+def spelt(docs: DataFrame, which: DataFrame) -> DataFrame:
+    """id, words (64-bit hashes) of some texts. docs: doc_id, text, text_hash; which: id, doc_id, text_hash, cheap to read twice."""
     small_batches(docs.sparkSession)
-    each = member.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("kmers"))
-    most = F.max(F.struct("size", "comp", "kmers"))
-    held = each.groupBy("bucket").agg(F.sum("size").alias("size"), F.sum("kmers").alias("kmers"), F.count("*").alias("comps"), most.alias("most"))
-    parts = lambda size, kmers: F.ceil(F.greatest(size / BLOCK_ROWS, kmers / BLOCK_KMERS)).cast("int")
-    held = held.where((F.col("comps") > 1) & (F.col("size") > HUBS + 1)).select(
-        "bucket", F.col("most.comp").alias("main"), parts(F.col("size") - F.col("most.size"), F.col("kmers") - F.col("most.kmers")).alias("outer_parts"), parts(F.col("size"), F.col("kmers")).alias("all_parts")
-    )
-    # written first: a join that stands directly on an aggregate cannot have its skewed partitions split
-    split = materialize(member.join(materialize(held), "bucket").withColumn("is_main", F.col("comp") == F.col("main")))
-    of = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outer = split.where(~F.col("is_main")).select("bucket", "id", "comp", "is_main", F.lit(True).alias("asks"), of("outer_parts").alias("i"), every("all_parts").alias("j"))
-    whole = split.select("bucket", "id", "comp", "is_main", F.lit(False).alias("asks"), every("outer_parts").alias("i"), of("all_parts").alias("j"))
 
-    def kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = utf8(b.column("text"))
             for i, j in blocks(at, TOGETHER):
                 low, starts, ends, first = words(data[at[i] : at[j]], at[i : j + 1] - at[i], ALNUM)
                 h = hashes(low, starts, ends)
-                own = [shingles(h[first[k] : first[k + 1]]).tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(own, pa.binary())], ["id", "kmers"])
+                own = [h[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(own, pa.binary())], ["id", "words"])
+
+    n = which.limit(BROADCAST_TEXTS + 1).count()
+    right = which.select("id", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
+    found = docs.join(F.broadcast(right) if n <= BROADCAST_TEXTS else right, same).select("id", "text")
+    return found.mapInArrow(run, "id long, words binary").dropDuplicates(["id"])
+
+
+def linked(items: DataFrame, texts: DataFrame, by: list[str], least: float) -> DataFrame:
+    """Links (a, b, comp_a, comp_b) within groups. items: the columns `by` of a group, id, comp, is_main, and asks: members
+    that ask are compared with those that do not. Within a group components that a link has joined are not compared again."""
 
     def links(group: pa.Table) -> pa.Table:
         ids, comp, main, asks = (group.column(c).to_numpy() for c in ("id", "comp", "is_main", "asks"))
-        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("kmers")]
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("words")]
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
         found: list[tuple[int, int, int, int]] = []
         if len(left) and len(right):
@@ -252,25 +236,49 @@ def between(docs: DataFrame, member: DataFrame, least: float) -> DataFrame:
                 u, v = top(comp[a]), top(comp[b])
                 if u != v and similarity(own[a], own[b], least) >= least:
                     of[max(u, v)] = min(u, v)
-                    found.append((ids[a], ids[b], comp[a], comp[b]) if ids[a] < ids[b] else (ids[b], ids[a], comp[b], comp[a]))
+                    found.append((ids[a], ids[b], comp[a], comp[b]))
         cols = list(zip(*found, strict=True)) or [()] * 4
         return pa.table({c: pa.array(np.array(v, np.int64)) for c, v in zip(("a", "b", "comp_a", "comp_b"), cols, strict=True)})
 
-    ids = materialize(split.select(F.col("id").alias("doc_id")).distinct())
-    texts = with_ids(docs, ids).dropDuplicates(["doc_id"]).mapInArrow(kmers, "id long, kmers binary")
-    both = outer.unionByName(whole).join(texts, "id")
-    return both.groupBy("bucket", "i", "j").applyInArrow(links, "a long, b long, comp_a long, comp_b long").distinct()
+    return items.join(texts, "id").groupBy(*by).applyInArrow(links, "a long, b long, comp_a long, comp_b long")
+
+
+def to_hubs(now: DataFrame, least: float) -> DataFrame:
+    """Blocks of members to compare with their hubs. now: bucket, id, n, hub, hub_n."""
+    near = (F.least("n", "hub_n") >= least * F.greatest("n", "hub_n")) & (F.col("id") != F.col("hub"))
+    pairs = materialize(now.where(near).select("hub", "id", "n").distinct())
+    # written first: a join that stands directly on an aggregate cannot have its skewed partitions split
+    many = materialize(pairs.groupBy("hub").agg(F.count("*").alias("size"), F.sum("n").alias("words")).select("hub", parts("size", "words").alias("parts")))
+    split = pairs.join(many, "hub")
+    members = split.select("hub", block("parts").alias("i"), "id", F.lit(False).alias("asks"))
+    hubs = many.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("hub").alias("id"), F.lit(True).alias("asks"))
+    return materialize(members.unionByName(hubs).withColumn("comp", F.col("id")).withColumn("is_main", F.lit(True)))
+
+
+def to_rest(member: DataFrame) -> DataFrame:
+    """Blocks of members of different components that share a bucket. member: bucket, id, n, comp."""
+    each = member.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("words"))
+    most = F.max(F.struct("size", "comp", "words"))
+    held = each.groupBy("bucket").agg(F.sum("size").alias("size"), F.sum("words").alias("words"), F.count("*").alias("comps"), most.alias("most")).where("comps > 1 AND size > 2")
+    held = held.withColumn("rest", F.col("size") - F.col("most.size")).withColumn("rest_words", F.col("words") - F.col("most.words"))
+    held = materialize(held.select("bucket", F.col("most.comp").alias("main"), parts("rest", "rest_words").alias("outer_parts"), parts("size", "words").alias("all_parts")))
+    split = member.join(held, "bucket").withColumn("is_main", F.col("comp") == F.col("main"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = split.where(~F.col("is_main")).select("bucket", "id", "comp", "is_main", F.lit(True).alias("asks"), block("outer_parts").alias("i"), every("all_parts").alias("j"))
+    whole = split.select("bucket", "id", "comp", "is_main", F.lit(False).alias("asks"), every("outer_parts").alias("i"), block("all_parts").alias("j"))
+    return materialize(outer.unionByName(whole))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, comp (least id) of all ids in edges (a, b), by turns of linking larger, then smaller neighbours to the least."""
+    """id, comp (least id) of all ids in edges (a, b), by turns of linking larger, then smaller neighbours to the least. An
+    id's least neighbour is written before it is joined, so that the join can split the rows of an id with many neighbours."""
 
     def turn(e: DataFrame, larger: bool) -> DataFrame:
         if larger:
             e = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         else:
             e = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = materialize(e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         j = e.join(least, "u")
         if larger:
             return j.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -278,7 +286,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     e, open_ = edges, True
     while open_:
-        e = materialize(turn(turn(e, True), False).where("a != b").distinct())
+        e = materialize(turn(materialize(turn(e, True).distinct()), False).where("a != b").distinct())
         # done when all are stars: each a has one b, which is no a
         ends = e.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(e.select("b", F.lit(0), F.lit(1)))
         open_ = not ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where(F.col("out") + F.col("in") > 1).isEmpty()
@@ -286,33 +294,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, n_links (links found between different texts), is_first (whether it represents its class)."""
-    all_docs = materialize(signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
-    texts = all_docs.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    reps = materialize(texts.select("key", "rep", "n", F.when(F.col("rep").isNotNull(), F.col("sketches")).alias("sketches")))
-    member = reps.where("n > 0").select(F.posexplode("sketches").alias("band", "value"), F.col("rep").alias("id"), "n").select(F.xxhash64("band", "value").alias("bucket"), "band", "id", "n")
-    crowded = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    now = materialize(member.join(crowded, "bucket").drop("band"))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket"), "id")
-    # written first: a join that stands directly on a window cannot have its skewed partitions split
-    hub = materialize(now.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= HUBS).select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n")))
-    near = (F.least("n", "hub_n") >= least * F.greatest("n", "hub_n")) & (F.col("id") != F.col("hub"))
-    pairs = materialize(now.join(hub, "bucket").where(near).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    links = materialize(verified(pairs, with_ids(source, ids).dropDuplicates(["doc_id"]), least))
-    comp = materialize(components(links))
-    more = materialize(between(source, now.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")), least))
-    if not more.isEmpty():
-        links = links.union(more.select("a", "b"))
-        joined = components(more.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(F.col("id").alias("old"), F.col("comp").alias("new"))
-        ends = more.select(F.col("a").alias("id"), F.col("comp_a").alias("comp")).union(more.select("b", "comp_b")).distinct()
-        comp = comp.union(ends.join(comp, "id", "left_anti")).join(joined, F.col("comp") == F.col("old"), "left").select("id", F.coalesce("new", "comp").alias("comp"))
-    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-    known = reps.select("key", "rep").join(comp, F.col("rep") == F.col("id"), "left").drop("id").join(degree, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("comp", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = all_docs.select("doc_id", "key").join(known, "key", "left")
+    """doc_id, class_id, is_first (whether its id is the class's)."""
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = materialize(signed(source))
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
+    texts = rows.where(F.col("key").isNotNull()).groupBy("key").agg(place, F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("id"), "key", "least.none", "least.doc_id", "least.text_hash", "n", "sketches"))
+    member = texts.select(F.posexplode("sketches").alias("band", "value"), "id", "n").select(F.xxhash64("band", "value").alias("bucket"), "id", "n")
+    first = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("first")
+    crowded = materialize(member.groupBy("bucket").agg(F.count("*").alias("size"), first).where("size > 1").select("bucket", F.col("first.id").alias("hub"), F.col("first.n").alias("hub_n")))
+    now = materialize(member.join(crowded, "bucket"))
+    of = lambda items: texts.join(items.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_hash")
+    items = to_hubs(now, least)
+    links = materialize(linked(items, spelt(source, materialize(of(items))), ["hub", "i"], least))
+    comp = materialize(components(links.select("a", "b")))
+    items = to_rest(now.select("bucket", "id", "n").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    if not items.isEmpty():
+        more = materialize(linked(items, spelt(source, materialize(of(items))), ["bucket", "i", "j"], least))
+        if not more.isEmpty():
+            joined = components(more.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(F.col("id").alias("old"), F.col("comp").alias("new"))
+            ends = more.select(F.col("a").alias("id"), F.col("comp_a").alias("comp")).union(more.select("b", "comp_b")).distinct()
+            comp = comp.union(ends.join(comp, "id", "left_anti")).join(joined, F.col("comp") == F.col("old"), "left").select("id", F.coalesce("new", "comp").alias("comp"))
+    known = materialize(texts.select("id", "key", "none", "doc_id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    named = materialize(known.groupBy("comp").agg(F.min(F.struct("none", "doc_id")).alias("least")).select("comp", F.col("least.doc_id").alias("class_id")))
+    out = rows.select("doc_id", "key").join(known.join(named, "comp").select("key", "class_id"), "key", "left")
     class_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(False)).alias("is_first"))
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(False)).alias("is_first"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
