@@ -1,8 +1,9 @@
 """A corpus pipeline: language, toxicity, near duplicates, personal data, packing. Counted as part of loamdex.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs. All
-but the last keep the columns of documents. Decisions are taken for each row, by a key of its own: rows with a null doc_id,
-or with one that other rows have too, stay or go by their own text. Of equal rows one stays.
+but the last keep the columns of documents. Decisions are taken for each row by its own text: rows with a null doc_id, or
+with one that other rows have too, stay or go alone. Of rows in one class, equal rows among them, one stays. A null text has
+no language, so such rows go at the first stage. An empty table gives an empty one. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -20,39 +21,34 @@ from loamdex.llm.tokens import vocabulary
 ROW = "loamdex_row"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, written, so that it stays the same: ids may be null, or shared by several rows."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+def _whole(docs: DataFrame) -> DataFrame:
+    """What operators read, with the whole row in place of doc_id: their decision then stands beside the row that it is on,
+    whatever its id, and no join brings them together."""
+    own = (F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(docs.columns))
+    return docs.select(F.struct(*own).alias("doc_id"), "text")
 
 
-def _by_row(keyed: DataFrame) -> DataFrame:
-    """What operators read, with the row's key as doc_id."""
-    return keyed.select(F.col(ROW).alias("doc_id"), "text")
-
-
-def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows whose key is not in rejected (as doc_id), without the key."""
-    return keyed.join(rejected.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").drop(ROW)
+def _rows(decided: DataFrame, columns: list[str]) -> DataFrame:
+    return decided.select(*(F.col(f"doc_id.c{i}").alias(c) for i, c in enumerate(columns)))
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that the field is sure enough of."""
-    keyed = _keyed(docs)
-    found = language.classify(_by_row(keyed), language.train(docs))
-    return _without(keyed, found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < language.KEEP)))
+    found = language.classify(_whole(docs), language.train(docs))
+    return _rows(found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= language.KEEP)), docs.columns)
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic by the network, which learns from the labels of documents still here."""
-    keyed = _keyed(docs)
-    scored = toxicity.score(_by_row(keyed), toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return _without(keyed, scored.where(F.col("score") >= toxicity.THRESHOLD))
+    scored = toxicity.score(_whole(docs), toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return _rows(scored.where(F.col("score") < toxicity.THRESHOLD), docs.columns)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class: the one with the least doc_id, a null one last, and of these the first."""
-    keyed = _keyed(docs)
-    of = order_minhash.classes(_by_row(keyed)).select(F.col("doc_id").alias(ROW), "class_id")
+    # a key of each row, written, so that it stays the same: ids may be null, or shared by several rows
+    keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    of = order_minhash.classes(keyed.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "class_id")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
     first = of.join(keyed.select(ROW, "doc_id"), ROW).groupBy("class_id").agg(F.min(place)[ROW].alias(ROW))
     return keyed.join(first.select(ROW), ROW, "left_semi").drop(ROW)
