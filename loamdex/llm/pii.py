@@ -1,15 +1,19 @@
 """Operator 5: personal data by gradient-boosted trees over candidate spans, in DataFrame functions.
 
 Generators with high recall propose spans, which may overlap: runs of digits with separators, spelt-out e-mail addresses,
-and account numbers that begin with letters. Boosted trees score each by its format and context; a kind's threshold is the least one that
-keeps PRECISION on the candidates of all documents that are held out from fitting. Base spans (email, ip, card, phone by fixed
-rules) always stay; a candidate that overlaps one is dropped. The trees become CASE expressions; they are fitted to candidates
-of at most SAMPLE documents for each kind, so that a rare kind is not missed by a sample of all.
-Nobody labelled the candidates, so the trees learn from rules that are strict about format (base spans, numbers
-with brackets and groups, spelt-out addresses with both marks) and generalise from them to looser forms.
+and account numbers that begin with letters. Boosted trees score each by its format and context; a kind's threshold is the
+least one that keeps PRECISION on examples held out from fitting. Base spans (email, ip, card, phone by fixed rules) always
+stay; a candidate that overlaps one is dropped. The trees become CASE expressions over the features of each candidate.
+
+Nobody labelled the tables' candidates, so labels come from examples: surroundings of at most SNIPPETS documents, cut at
+hashed places of the whole text, into which made personal data (telephone and social security numbers, account numbers with
+valid check digits, spelt-out addresses) and look-alikes (dates, versions, amounts, serial numbers, plain prose around "at")
+are put, with and without words that announce them. Features of examples come from the same expressions as those of texts.
+The examples' number does not depend on the table's size, so rare kinds are found in large tables as in small ones.
 
 A null text counts as empty and has no spans. Repeated rows get equal results; columns other than doc_id and text are not read
-by `find`, and `redact` passes them through. An empty table gives an empty one. Patterns take linear time in the text.
+by `find`, and `redact` passes them through. An empty table gives an empty one. Patterns take linear time in the text, places
+and overlaps of n spans n ** 1.5 small steps.
 """
 
 from __future__ import annotations
@@ -20,17 +24,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sample_ids, table
-from .spans import SPAN, digits, joined, let, luhn, none, ordered, redacted, spans
+from .common import sample_rows, table
+from .spans import SPAN, chunks, clear, digits, joined, let, looked, luhn, none, ordered, redacted, spans
 
 BASE = ["email", "ip", "card", "phone"]
 #: Kinds that the method adds, by the generators' names.
 ADDED = ["number", "spelt_email", "account"]
 KINDS = BASE + ADDED
-#: Documents with candidates of a kind that the trees are fitted to at most; trees, their depth and step; precision asked of thresholds.
-SAMPLE, TREES, DEPTH, SHRINK, PRECISION = 5000, 12, 3, 0.3, 0.95
-#: Bins of the scores for each unit, in which candidates are counted for the thresholds.
-BINS = 1000
+#: Documents that surroundings are taken from, examples of each form; trees, their depth and step; precision asked of thresholds.
+SNIPPETS, EXAMPLES, TREES, DEPTH, SHRINK, PRECISION = 1000, 60, 30, 4, 0.3, 0.95
 CONTEXT = 32
 _LOCAL = "[A-Za-z0-9._%+-]"
 # The base patterns, with possessive forms that match the same spans in linear time.
@@ -44,7 +46,7 @@ _PATTERN = {
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
 }
 _MAY = {"email": "@", "phone": "+"}
-_WORDS = "tel|phone|call|fax|mobile|contact|reach|mail|card|account|iban|ssn|social|passport|ip"
+_WORDS = "tel|telephone|phone|call|calls|fax|mobile|contact|reach|mail|card|account|iban|ssn|social|passport|ip"
 
 
 def _base(text: Column, kind: str) -> Column:
@@ -61,37 +63,101 @@ def _base(text: Column, kind: str) -> Column:
     return found
 
 
-FEATURES = ["length", "digits", "letters", "dots", "dashes", "spaces", "colons", "brackets", "plus", "luhn", "longest", "context", "before", "after", "marks", "kind"]
+FEATURES = ["length", "digits", "letters", "dots", "dashes", "spaces", "colons", "brackets", "plus", "luhn", "longest", "context", "before", "after", "marks", "kind", "groups", "year", "check", "sentence"]
+
+
+def _check_digits(value: Column) -> Column:
+    """Whether an account number leaves 1 modulo 97, its first four characters moved to the end and letters read as 10 to 35."""
+    v = F.regexp_replace(value, " ", "")
+    one = lambda total, c: F.when(c.rlike("[0-9]"), (total * 10 + F.ascii(c) - 48) % 97).otherwise((total * 100 + F.ascii(c) - 55) % 97)
+    turned = F.concat(F.substring(v, 5, 60), F.substring(v, 1, 4))
+    return F.aggregate(F.split(turned, ""), F.lit(0), one) == 1
 
 
 def _features(text: Column, s: Column) -> Column:
+    """Of a span in a text that is given as its chunks."""
     v = s["value"]
     count = lambda p: F.regexp_count(v, F.lit(p)).cast("double")
     flag = lambda c: F.coalesce(c.cast("int"), F.lit(0)).cast("double")
-    before = F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
+    before = looked(text, F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"])
     return F.array(
         F.length(v).cast("double"), count("[0-9]"), count("[A-Za-z]"), count("[.]"), count("[-]"), count("[ ]"), count("[:/]"), count("[()]"),
         flag(v.startswith("+")), flag(let(digits(v), lambda d: F.length(d).between(12, 19) & luhn(d))),
         F.coalesce(F.array_max(F.transform(F.regexp_extract_all(v, F.lit("[0-9]+"), F.lit(0)), lambda d: F.length(d))), F.lit(0)).cast("double"),
-        flag(F.lower(before).rlike(rf"\b(?:{_WORDS})")), flag(before.rlike(r"[A-Za-z0-9=#]$")), flag(F.substring(text, s["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9%]")),
+        flag(F.lower(before).rlike(rf"\b(?:{_WORDS})\b")), flag(before.rlike(r"[A-Za-z0-9=#.,-]$")), flag(looked(text, s["end"], s["end"] + 1).rlike("[A-Za-z0-9%]")),
         count(r"(?i)[(\[{](?:at|dot)[)\]}]"), F.array_position(F.array(*map(F.lit, ADDED)), s["kind"]).cast("double"),
+        count("[0-9]+"), flag(v.rlike(r"^(?:19|20)[0-9]{2}[-/.]|[-/.](?:19|20)[0-9]{2}$|[0-9]:[0-9]{2}")),
+        F.when(s["kind"] == "account", flag(_check_digits(v))).otherwise(F.lit(0.0)), flag(v.rlike(r"\. ")),
     )
 
 
-def _strict(base: Column, s: Column) -> Column:
-    """Whether a rule that is strict about format holds: what the trees learn from."""
-    v = s["value"]
-    same = F.exists(base, lambda b: (b["start"] >= s["start"] - 1) & (b["start"] <= s["start"] + 1) & (b["end"] == s["end"]))
-    groups = v.rlike(r"^(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
-    return same | groups | ((s["kind"] == "spelt_email") & v.rlike(r"(?i)[(\[{]at[)\]}].*[(\[{]dot[)\]}]")) | ((s["kind"] == "account") & v.rlike("^[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){3,}"))
-
-
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs with base (spans by the fixed rules) and proposed (spans by the generators)."""
+    """docs with base (spans by the fixed rules) and proposed (spans by the generators that overlap none of them)."""
     text = F.coalesce("text", F.lit(""))
     out = docs.withColumn("base", F.concat(*(_base(text, k) for k in BASE)).cast(SPAN))
     proposed = F.concat(*(spans(text, k, _PATTERN[k]) for k in ADDED)).cast(SPAN)
-    return out.withColumn("proposed", F.when(text.rlike(r"[0-9](?:[^a-z]{0,40}[0-9]){6}|(?i:[(\[{]at[)\]}]| at )"), proposed).otherwise(none()))
+    return out.withColumn("proposed", let(F.struct(proposed.alias("p"), F.col("base").alias("b")), lambda x: clear(x["p"], x["b"])))
+
+
+def _numbered(rng: np.random.Generator, form: str) -> str:
+    """A form with # as digits, @ as capital letters."""
+    return "".join(str(rng.integers(10)) if c == "#" else chr(65 + int(rng.integers(26))) if c == "@" else c for c in form)
+
+
+def _account(rng: np.random.Generator, form: str) -> str:
+    """An account number of a form whose third and fourth characters are its check digits."""
+    own = _numbered(rng, form)
+    bare = own.replace(" ", "")
+    number = int("".join(str(int(c, 36)) for c in bare[4:] + bare[:2] + "00"))
+    return own[:2] + f"{98 - number % 97:02d}" + own[4:]
+
+
+_PHONES = ["(###) ###-####", "###-###-####", "###.###.####", "### ### ####", "0## #### ####", "1-###-###-####", "0##/#######", "0### ######", "(0##) #### ####"]
+_NUMBERS = ["##########", "0##########", "#########"]
+_PERSONS = ["###-##-####", "### ## ####"]
+_PLAIN = ["########", "################", "################ ################", "20##-##-## ##:##:##", "##.##.20## ##:##", "20##/##/##", "19##-19##, 19##", "#.#########", "##.#.##.#.#", "#.###.###.###", "## ### ###", "20##-#####-#####", "###############", "######.##", "## : ## : ## : ##", "20##.####.#####"]
+_ACCOUNTS = ["@@## #### #### #### ####", "@@##@@@@##############", "@@## @@@@ #### #### #### ##", "@@####################"]
+_SERIALS = ["@@##@@@@@@@@@@@@", "@@## #### #### #### ####", "@@##@@@@##############", "@@##@#@#@#@#@#@#@#", "@@## @@@@ #### #### #### ##"]
+_CUES = {"phone": ["tel", "phone:", "call me at", "mobile", "fax", "contact"], "person": ["ssn", "social security", "passport no"], "account": ["iban", "account", "pay to account"], "mail": ["mail", "contact", "reach me:", "e-mail to"]}
+_OTHER_CUES = ["order", "serial no", "version", "on", "from", "total", "part", "id"]
+_AT, _DOT = [(" (at) ", " (dot) "), ("(at)", "(dot)"), ("[at]", "."), (" [at] ", " [dot] "), (" at ", " dot "), (" {at} ", ".")], ["com", "org", "net", "de", "co dot uk"]
+
+
+def examples(around: list[tuple[str, str]], seed: int = 5) -> list[tuple[str, str, int, int, int]]:
+    """(text, kind, start, end, label) of made examples in given surroundings."""
+    rng = np.random.default_rng(seed)
+    around = around or [("", "")]
+    out: list[tuple[str, str, int, int, int]] = []
+
+    def add(kind: str, value: str, cues: list[str], share: float, label: int) -> None:
+        left, right = around[int(rng.integers(len(around)))]
+        cue = str(rng.choice(cues)) + " " if cues and rng.random() < share else ""
+        start = len(left) + 1 + len(cue)
+        out.append((f"{left} {cue}{value} {right}", kind, start, start + len(value), label))
+
+    for _ in range(EXAMPLES):
+        for f in _PHONES:
+            add("number", _numbered(rng, f), _CUES["phone"], 0.5, 1)
+        for f in _NUMBERS:
+            add("number", _numbered(rng, f), _CUES["phone"], 1.0, 1)
+            add("number", _numbered(rng, f), _OTHER_CUES, 0.5, 0)
+        for f in _PERSONS:
+            add("number", _numbered(rng, f), _CUES["person"], 0.5, 1)
+        for f in _PLAIN:
+            add("number", _numbered(rng, f), _OTHER_CUES, 0.5, 0)
+        for f in _ACCOUNTS:
+            add("account", _account(rng, f), _CUES["account"], 0.5, 1)
+        for f in _SERIALS:
+            add("account", _numbered(rng, f), _OTHER_CUES, 0.5, 0)
+        words = [w.strip(".,;:!?\"()").lower() for w in " ".join(around[int(rng.integers(len(around)))]).split()]
+        words = [w for w in words if w.isascii() and w.isalpha()] or ["word"]
+        word = lambda: str(rng.choice(words))
+        for at, dot in _AT:
+            add("spelt_email", f"{word()}{at}{word()}{dot}{rng.choice(_DOT)}", _CUES["mail"], 0.5 if at != " at " else 0.8, 1)
+        for end in (". ", ".", " dot ", "dot "):
+            add("spelt_email", f"{word()} at {word()}{end}{word()}", _OTHER_CUES, 0.3, 0)
+        add("spelt_email", f"{word()} at {word()}. {word()}", _OTHER_CUES, 0.3, 0)
+    return out
 
 
 class Trees:
@@ -146,45 +212,45 @@ class Trees:
         return total
 
 
-def _cuts(trees: Trees, rows: DataFrame) -> dict[str, float]:
-    """A threshold for each kind: the least bin of scores down to which PRECISION holds on all candidates kept from fitting
-    or, where no strict one is among them, on all. Only counts by bin reach the driver."""
-    bins = rows.groupBy("kind", (F.col("part") == 0).alias("apart"), F.floor(trees.column(F.col("x")) * BINS).alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("good")).collect()
+def cuts(score: np.ndarray, y: np.ndarray, kind: np.ndarray) -> dict[str, float]:
+    """A threshold for each kind: the least score down to which PRECISION holds on these examples."""
     out = {}
-    for kind in ADDED:
-        own = [r for r in bins if r.kind == kind]
-        apart = [r for r in own if r.apart]
-        out[kind], n, good = math.inf, 0, 0
-        by: dict[int, list[int]] = {}
-        for r in apart if any(r.good for r in apart) else own:
-            at = by.setdefault(r.bin, [0, 0])
-            at[0], at[1] = at[0] + r.n, at[1] + r.good
-        for k in sorted(by, reverse=True):
-            n, good = n + by[k][0], good + by[k][1]
-            if good >= PRECISION * n:
-                out[kind] = k / BINS - 1e-9
+    for k in ADDED:
+        own = np.flatnonzero(kind == k)
+        own = own[np.argsort(-score[own], kind="stable")]
+        good = np.cumsum(y[own]) >= PRECISION * np.arange(1, len(own) + 1)
+        last = np.append(score[own][1:] < score[own][:-1], True) if len(own) else good  # equal scores stand or fall together
+        ok = np.flatnonzero(good & last)
+        out[k] = float(score[own[ok[-1]]]) - 1e-9 if len(ok) else math.inf
     return out
 
 
-def fit(docs: DataFrame, most: int = SAMPLE) -> tuple[Trees, dict[str, float]] | None:
-    """Trees, from the candidates of at most so many documents that have some of a kind, for each kind; and thresholds from
-    the candidates of all documents. None without candidates."""
-    text = F.coalesce("text", F.lit(""))
-    one = lambda s: F.struct(_features(text, s).alias("x"), _strict(F.col("base"), s).cast("int").alias("y"), F.pmod(F.xxhash64(s["value"]), F.lit(3)).alias("part"), s["kind"].alias("kind"))
-    own = candidates(docs.select("doc_id", "text")).where(F.size("proposed") > 0)
-    rows = materialize(own.select("doc_id", F.explode(F.transform("proposed", one)).alias("c")).select("doc_id", "c.*"))
-    some = []
-    for kind in ADDED:
-        of = rows.where((F.col("kind") == kind) & F.col("doc_id").isNotNull())
-        ids = sample_ids(of.select("doc_id").distinct(), most)
-        some += of.join(F.broadcast(ids), "doc_id", "left_semi").select("x", "y", "part", "kind").collect()
-    if not some:
-        return None
-    some.sort(key=lambda r: (r.part, r.kind, r.y, r.x))
-    x, y, part = np.array([r.x for r in some]), np.array([r.y for r in some], float), np.array([r.part for r in some])
-    use = part > 0 if (part > 0).any() else part == 0
-    trees = Trees(x[use], y[use])
-    return trees, _cuts(trees, rows)
+def surroundings(docs: DataFrame, most: int = SNIPPETS) -> list[tuple[str, str]]:
+    """What stands on both sides of a hashed place of at most so many documents: 40 code points each."""
+    few = sample_rows(docs.where(F.length("text") > 0).select("text"), most, "text")
+    at = F.pmod(F.xxhash64("text", F.lit("place")), F.length("text")).cast("int")
+    rows = few.select(F.substring("text", F.greatest(at - 39, F.lit(1)), F.least(at, F.lit(40))).alias("left"), F.substring("text", at + 1, F.lit(40)).alias("right")).collect()
+    return sorted((r.left.rstrip(), r.right.lstrip()) for r in rows)
+
+
+def described(spark: SparkSession, made: list[tuple[str, str, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and kinds of examples; of the span that is proposed at an example's place, if any is."""
+    text = F.col("text")
+    proposed = F.concat(*(spans(text, k, _PATTERN[k]) for k in ADDED)).cast(SPAN)
+    here = lambda s: (s["kind"] == F.col("kind")) & (s["start"] < F.col("end")) & (s["end"] > F.col("start"))
+    table_ = spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "n int, text string, kind string, start int, end int, label int")
+    rows = table_.select("n", "kind", "label", F.get(F.filter(proposed, here), F.lit(0)).alias("s"), chunks(text).alias("cut")).where("s is not null")
+    found = rows.select("n", "kind", "label", _features(F.col("cut"), F.col("s")).alias("x")).collect()
+    found.sort(key=lambda r: r.n)
+    return np.array([r.x for r in found]), np.array([r.label for r in found], float), np.array([r.kind for r in found])
+
+
+def fit(docs: DataFrame, most: int = SNIPPETS) -> tuple[Trees, dict[str, float]] | None:
+    """Trees from two thirds of the examples in surroundings of at most so many documents, thresholds from the rest."""
+    x, y, kind = described(docs.sparkSession, examples(surroundings(docs, most)))
+    part = np.random.default_rng(3).random(len(y)) < 2 / 3
+    trees = Trees(x[part], y[part])
+    return trees, cuts(trees.margin(x[~part]), y[~part], kind[~part])
 
 
 def find(docs: DataFrame, model: tuple[Trees, dict[str, float]] | None) -> DataFrame:
@@ -196,8 +262,7 @@ def find(docs: DataFrame, model: tuple[Trees, dict[str, float]] | None) -> DataF
     else:
         trees, cut = model
         least = lambda s: F.coalesce(*(F.when(s["kind"] == k, F.lit(v)) for k, v in cut.items()))
-        free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        strong = F.filter("proposed", lambda s: free(s) & (let(_features(text, s), trees.column) >= least(s)))
+        strong = let(chunks(text), lambda own: F.filter("proposed", lambda s: let(_features(own, s), trees.column) >= least(s)))
         added = F.when(F.size("proposed") == 0, none()).otherwise(strong)
     out = out.withColumn("added", added)
     out = out.withColumn("all_spans", ordered(F.concat("base", "added").cast(SPAN), KINDS, kind_first=True))
