@@ -1,63 +1,96 @@
-"""Token ids of whole texts, piece by piece between ASCII white space, each distinct piece encoded once.
+"""Values of whole texts, piece by piece between ASCII white space, each distinct piece of a block made once.
 
 The tokenizer drops white space, and no token, merge or normalisation reaches across it, so ids of a text are those of
-its pieces one after the other. `_Memo` holds what recent pieces gave, in two generations of bounded size.
+its pieces one after the other. A block's texts are cut, and its distinct pieces found, by Arrow's functions; `Memo` holds
+what recent pieces gave, in two generations of bounded size; the values are then gathered in text order, again by Arrow.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import blocks, utf8
 
 #: Pieces that one generation of the memo holds, and bytes of the longest piece that it keeps.
 MEMO_PIECES, MEMO_BYTES = 300_000, 64
-_TAIL = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)\Z")
+#: Bytes of text handled together.
+BLOCK = 4 << 20
+#: A word of Latin letters (of one or two bytes) and what stands after it.
+_TAIL = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc5-\xc9][\x80-\xbf])+)([!-&(-/:-@\[-`{-~]+)\Z")
+
+
+_ENDS = {bytes([b]) for b in range(0x21, 0x7F) if not chr(b).isalnum()}
 
 
 class Memo:
-    """Values of pieces. fill: gets pieces (str), gives their values; join: a value from those of two parts."""
+    """Values (tuples of bytes) of pieces. fill: gets pieces (str), gives their values; a value is joined from those of two parts."""
 
-    def __init__(self, fill: Callable[[list[str]], list], join: Callable):
-        self.fill, self.join = fill, join
-        self.new: dict[bytes, object] = {}
-        self.old: dict[bytes, object] = {}
+    def __init__(self, fill: Callable[[list[str]], list[tuple[bytes, ...]]]):
+        self.fill = fill
+        self.new: dict[bytes, tuple] = {}
+        self.old: dict[bytes, tuple] = {}
 
-    def look(self, pieces: list[bytes]) -> dict[bytes, object]:
-        """A dictionary with a value for each of the pieces."""
+    def look(self, pieces: list[bytes]) -> list[tuple[bytes, ...]]:
+        """Values of different pieces."""
         if len(self.new) > MEMO_PIECES:
             self.old, self.new = self.new, {}
-        new, old, rest, split, out = self.new, self.old, [], [], None
-        for p in set(pieces).difference(new):
-            if p in old:
-                new[p] = old[p]
-            elif m := _TAIL.match(p):
-                split.append((p, m[1], m[2]))
-            else:
-                rest.append(p)
-        if split:
-            for x in {y for _, a, b in split for y in (a, b)}.difference(new):
-                if x in old:
-                    new[x] = old[x]
+        found = list(map(self.new.get, pieces))
+        missing = [k for k, v in enumerate(found) if v is None]
+        if missing:
+            more = self._more([pieces[k] for k in missing])
+            for k in missing:
+                found[k] = more[pieces[k]]
+        return found
+
+    def _more(self, pieces: list[bytes]) -> dict[bytes, tuple[bytes, ...]]:
+        new, old, rest, split = self.new, self.old, [], []
+        out = {p: old[p] for p in pieces if p in old}
+        for p in pieces:
+            if p not in out:
+                if p[-1:] in _ENDS and (m := _TAIL.match(p)):
+                    split.append((p, m[1], m[2]))
                 else:
+                    rest.append(p)
+        if split:
+            for x in {y for _, a, b in split for y in (a, b)}:
+                if (v := new.get(x) or old.get(x)) is not None:
+                    out[x] = v
+                elif x not in out:
                     rest.append(x)
             rest = list(dict.fromkeys(rest))
         if rest:
-            got = dict(zip(rest, self.fill([p.decode("utf-8", "replace") for p in rest]), strict=True))
-            if max(map(len, rest)) > MEMO_BYTES:
-                out = got
-                new.update((k, v) for k, v in got.items() if len(k) <= MEMO_BYTES)
-            else:
-                new.update(got)
-        full = new if out is None else {**new, **out}
+            out.update(zip(rest, self.fill([p.decode("utf-8", "replace") for p in rest]), strict=True))
         for p, a, b in split:
-            v = self.join(full[a], full[b])
-            full[p] = v
-            if out is not None and len(p) <= MEMO_BYTES:
-                new[p] = v
-        return full
+            out[p] = tuple(x + y for x, y in zip(out[a], out[b], strict=True))
+        new.update((p, v) for p, v in out.items() if len(p) <= MEMO_BYTES)
+        return out
 
 
-def pieces(text: bytes) -> list[bytes]:
-    """A text's pieces; ASCII letters in lower case, as the tokenizer's normaliser makes them, but not where a text might
-    spell a special token, which is looked for before lowering."""
-    return (text if b"<|" in text else text.lower()).split()
+def gathered(column: pa.Array, memo: Memo) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], ...]]:
+    """For each block of a text column, for each part of the memo's values: the bytes of all its texts one after the other,
+    and len + 1 offsets. A null is an empty text. ASCII letters are lowered, as the tokenizer's normaliser does, but not
+    where a text might spell a special token, which is looked for before lowering."""
+    column = column.cast(pa.string())
+    if column.null_count:
+        column = column.fill_null("")
+    _, at = utf8(column)
+    for i, j in blocks(at, BLOCK):
+        own = column.slice(i, j - i)
+        special = pc.match_substring(own, "<|")
+        own = pc.if_else(special, own, pc.ascii_lower(own)) if pc.any(special).as_py() else pc.ascii_lower(own)
+        cut = pc.ascii_split_whitespace(own)
+        first = cut.offsets.to_numpy()
+        coded = pc.dictionary_encode(cut.flatten())
+        values = list(zip(*memo.look(pc.cast(coded.dictionary, pa.binary()).to_pylist()), strict=True))
+        out = []
+        for part in values:
+            whole = pa.array(part, pa.binary()).take(coded.indices)
+            _, ends, data = whole.buffers()
+            ends = np.frombuffer(ends, np.int32)[whole.offset : whole.offset + len(whole) + 1]
+            out.append((np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), ends[first - first[0]]))
+        yield tuple(out)

@@ -10,11 +10,19 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from .chunks import Memo, pieces
-from .common import blocks, utf8
+from .chunks import Memo, gathered
 
-#: Bytes of text encoded together.
-BLOCK = 1 << 20
+
+#: Letters that stand alone under the normaliser and are one byte or two: a to z, Latin-1 and its extensions, but for those
+#: whose lower case is two characters.
+_LATIN = "".join(chr(c) for c in [*range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100), *range(0x140, 0x250)] if chr(c).isalpha() and len(chr(c).lower()) == 1)
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte: printable ones for themselves, the rest from U+0100 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
 def vocabulary() -> str:
@@ -35,38 +43,43 @@ def memo(path: str) -> Memo:
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    model, plain, pack = tok.model, _plain(tok), struct.pack
+    tokenize, plain, pack = tok.model.tokenize, _plain(tok), struct.pack
 
-    def fill(texts: list[str]) -> list[bytes]:
-        out, rest = [b""] * len(texts), []
+    def fill(texts: list[str]) -> list[tuple[bytes]]:
+        out, rest = [(b"",)] * len(texts), []
         for k, t in enumerate(texts):
-            if plain(t):
-                ids = [x.id for x in model.tokenize(t)]
-                out[k] = pack(f"<{len(ids)}I", *ids)
+            if word := plain(t):
+                ids = [x.id for x in tokenize(word)]
+                out[k] = (pack(f"<{len(ids)}I", *ids),)
             else:
                 rest.append(k)
         for k, e in zip(rest, tok.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False) if rest else (), strict=True):
-            out[k] = np.asarray(e.ids, "<u4").tobytes()
+            out[k] = (np.asarray(e.ids, "<u4").tobytes(),)
         return out
 
-    return Memo(fill, lambda a, b: a + b)
+    return Memo(fill)
 
 
-def _plain(tok) -> Callable:
-    """Tells pieces of letters a to z, which this tokenizer's normaliser and patterns leave whole, if they do."""
-    word = "abcdefghijklmnopqrstuvwxyz"
-    same = tok.normalizer is not None and tok.normalizer.normalize_str(word) == word and [x for x, _ in tok.pre_tokenizer.pre_tokenize_str(word)] == [word]
-    return re.compile("[a-z]+").fullmatch if same else lambda t: None
+def _plain(tok) -> Callable[[str], str | None]:
+    """What this tokenizer's normaliser and patterns make of a piece of Latin letters, if they leave such a piece whole: it in
+    lower case, its bytes as letters; None for other pieces."""
+    letter = "".join(byte_letters())
+    words = [x + y for x, y in zip(_LATIN, _LATIN[1:], strict=False)]
+    spelt = lambda t: t.lower().encode().decode("latin-1").translate(table)
+    table = {b: c for b, c in enumerate(letter)}
+    if not all(tok.normalizer is not None and [x for x, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(w))] == [spelt(w)] for w in words):
+        return lambda t: None
+    match = re.compile(f"[{_LATIN}]+").fullmatch
+    simple = re.compile("[a-z]+").fullmatch
+    return lambda t: t if simple(t) else spelt(t) if match(t) else None
 
 
 def encoded(column: pa.Array, path: str) -> Iterator[bytes]:
     """For each text its ids, as little-endian unsigned 32-bit integers. A null is an empty text."""
-    m, (data, at) = memo(path), utf8(column)
-    for i, j in blocks(at, BLOCK):
-        parts = [pieces(data[at[k] : at[k + 1]].tobytes()) for k in range(i, j)]
-        known = m.look([p for x in parts for p in x] if j - i > 1 else parts[0]).__getitem__
-        for x in parts:
-            yield b"".join(map(known, x))
+    for ((data, at),) in gathered(column, memo(path)):
+        whole = memoryview(data)
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield bytes(whole[i:j])
 
 
 def mapped(make: Callable, path: str) -> Callable:
