@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold: long texts keep a Python worker's memory small.
 BATCH_ROWS = 1000
-#: Ids are sent to every executor only up to this count (8 bytes each); beyond it a shuffled join takes over.
-BROADCAST_IDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,22 +74,6 @@ def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     return pickle.loads(row.model) if row else fit(pa.table({n: pa.array([], pa.null()) for n in names}))
 
 
-def sample_ids(labelled: DataFrame, most: int) -> DataFrame:
-    """The rows of labelled (with doc_id) whose ids hash lowest: all of them, or about `most` (exactly, but for equal
-    hashes). Only hashes reach the driver, never texts. Deterministic for given rows."""
-    h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    low = labelled.where(F.col("doc_id").isNotNull()).select(h.alias("h")).orderBy("h").limit(most).agg(F.count("*").alias("n"), F.max("h").alias("h")).first()
-    if low.n < most:
-        return labelled.where(F.col("doc_id").isNotNull())
-    return labelled.where(F.col("doc_id").isNotNull() & (h <= F.lit(low.h)))
-
-
-def with_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of df whose key is in ids (one column of that name), which must be cheap to read twice."""
-    n = ids.limit(BROADCAST_IDS + 1).count()
-    return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, "left_semi")
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of an Arrow text column one after the other, and len + 1 offsets into them; a null is an empty text."""
     column = column.cast(pa.large_binary())
