@@ -41,15 +41,27 @@ def title(html: Column) -> Column:
     return unescaped(F.regexp_extract(head(html), r"(?is)<title[^>]*>(.*?)</title", 1))
 
 
+# A tag up to its end, which quoted values may not hide; what stands before an attribute; its value, quoted or not.
+TAG = r"""(?is)<{tag}\s(?:"[^"]*"|'[^']*'|[^'">])*>"""
+ATTRIBUTE = r"""(?is)^<[a-z]+(?:\s+[^\s=>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?\s+{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def tags(html: Column, tag: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(TAG.format(tag=tag)), F.lit(0))
+
+
 def attribute(tag: Column, name: str) -> Column:
-    return unescaped(F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*"([^"]*)\"""", 1))
+    """An attribute's value, in double, single or no quotes; null if the tag has none of that name with a value."""
+    p = ATTRIBUTE.format(name=name)
+    return F.when(tag.rlike(p), unescaped(F.concat(*(F.regexp_extract(tag, p, k) for k in (1, 2, 3)))))
 
 
 def _first(html: Column, tag: str, name: str, value: str) -> Column:
-    return F.get(F.filter(F.regexp_extract_all(head(html), F.lit(rf"(?is)<{tag}\s[^>]*>"), F.lit(0)), lambda t: attribute(t, name) == value), F.lit(0))
+    return F.get(F.filter(tags(head(html), tag), lambda t: attribute(t, name) == value), F.lit(0))
 
 
 def description(html: Column) -> Column:
+    """Null where the page has a description without content."""
     tag = _first(html, "meta", "name", "description")
     return F.when(tag.isNull(), NO_DESCRIPTION).otherwise(attribute(tag, "content"))
 
@@ -59,8 +71,8 @@ def favicon(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """The href of each <a> of the body, in order."""
-    return F.transform(F.regexp_extract_all(body(html), F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)\""""), F.lit(1)), unescaped)
+    """The href of each <a> of the body that has one, in order."""
+    return F.filter(F.transform(tags(body(html), "a"), lambda t: attribute(t, "href")), lambda x: x.isNotNull())
 
 
 def parse(batches: Iterator) -> Iterator:
@@ -70,18 +82,18 @@ def parse(batches: Iterator) -> Iterator:
     class Page(HTMLParser):
         def __init__(self) -> None:
             super().__init__(convert_charrefs=True)
-            self.title, self.description, self.favicon, self.links, self._in, self._body = None, None, None, [], False, False
+            self.title, self.description, self.favicon, self.links, self.has, self._in, self._body = None, None, None, [], False, False, False
 
         def handle_starttag(self, tag, attrs):
             a = dict(attrs)
-            self._body |= tag == "body"
+            self._body |= tag in ("body", "a")
             if tag == "title" and self.title is None and not self._body:
                 self._in, self.title = True, ""
-            elif tag == "meta" and a.get("name") == "description" and self.description is None and not self._body:
-                self.description = a.get("content")
+            elif tag == "meta" and a.get("name") == "description" and not self.has and not self._body:
+                self.description, self.has = a.get("content"), True
             elif tag == "link" and a.get("rel") == "icon" and self.favicon is None and not self._body:
                 self.favicon = a.get("href")
-            elif tag == "a" and a.get("href") is not None:
+            elif tag == "a" and a.get("href") is not None and self._body:
                 self.links.append(a["href"])
 
         def handle_endtag(self, tag):
@@ -100,7 +112,7 @@ def parse(batches: Iterator) -> Iterator:
             pages.append(p)
         out = frame[["url"]].copy()
         out["title"] = [p.title or "" for p in pages]
-        out["description"] = [NO_DESCRIPTION if p.description is None else p.description for p in pages]
+        out["description"] = [p.description if p.has else NO_DESCRIPTION for p in pages]
         out["favicon"] = [p.favicon or "" for p in pages]
         out["links"] = [p.links for p in pages]
         yield out

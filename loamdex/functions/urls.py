@@ -54,7 +54,7 @@ def path(url: Column) -> Column:
 
 
 def is_valid(url: Column) -> Column:
-    return url.rlike(r"^https?://[^/\s]+") & F.expr("true") & F.try_parse_url(url, F.lit("HOST")).isNotNull()
+    return url.rlike(r"^https?://[^/\s]+") & F.try_parse_url(url, F.lit("HOST")).isNotNull()
 
 
 def rest_and_suffix(h: Column, suffix: Column, wildcard: Column, exception: Column) -> tuple[Column, Column]:

@@ -46,3 +46,8 @@ def rounded(score: Column) -> Column:
 
 def guess_json(score: Column, correct: Column) -> Column:
     return F.to_json(F.struct(F.format_string("%.6f", score).alias("score"), correct.alias("correct")))
+
+
+def random_int(low: int, high: int, seed: int) -> Column:
+    """A number from low to high, both included, each alike likely."""
+    return (F.floor(F.rand(seed) * (high - low + 1)) + low).cast("int")

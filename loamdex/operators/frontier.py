@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import origin
+from ..sources.shared import materialize, numbered, shared_dir
+from .robots import allowed
 
 
 def fresh(found: DataFrame, visited: DataFrame) -> DataFrame:
@@ -24,11 +23,33 @@ def with_origins(found: DataFrame) -> DataFrame:
 
 def _written(df: DataFrame, paths: list[str]) -> DataFrame:
     """df written and read again; its path is added to paths."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loamdex-")
-    paths.append(f"{root.rstrip('/')}/frontier-{uuid.uuid4().hex}")
-    df.write.parquet(paths[-1])
-    return spark.read.schema(df.schema).parquet(paths[-1])
+    paths.append(shared_dir(df.sparkSession))
+    return materialize(df, paths[-1])
+
+
+def crawl(seeds: DataFrame, links: DataFrame, robots: DataFrame, budget: int = 0) -> DataFrame:
+    """url, place, depth, fetched of a crawl over known pages, in order of arrival; seeds: url; links: src, pos, url (canonical,
+    of pages that can be fetched); robots: origin, http_code, body.
+
+    A level of the queue at a time: its URLs are checked against robots, the links of those that may be fetched follow, each
+    before its origin, and what is new of them is the next level. It ends when nothing is new or, for a positive budget,
+    after budget + 1 URLs; URLs that robots forbid count too, but are not fetched. A level is written, and numbered by ranges."""
+    spark, paths = seeds.sparkSession, []
+    rows = with_origins(seeds.select("url", F.lit(0).cast("bigint").alias("seq")))
+    level, n, depth = rows.groupBy("url").agg(F.min(F.struct("seq", "part")).alias("at")), 0, 0
+    while True:
+        if budget > 0:
+            level = level.orderBy("at", "url").limit(budget + 1 - n)
+        placed = numbered(level, "place", "at", "url").withColumn("place", F.col("place") + n).withColumn("depth", F.lit(depth))
+        level = _written(allowed(placed, robots).select("url", "place", "depth", F.col("allowed").alias("fetched")), paths)
+        new = level.count()
+        n, depth = n + new, depth + 1
+        if new == 0 or (budget > 0 and n > budget):
+            break
+        seen = spark.read.schema(level.schema).parquet(*paths)
+        out = level.where("fetched").join(links, level["url"] == links["src"]).select(links["url"], F.struct("place", "pos").alias("seq"))
+        level = with_origins(out).groupBy("url").agg(F.min(F.struct("seq", "part")).alias("at")).join(seen.select("url"), "url", "left_anti")
+    return spark.read.schema(level.schema).parquet(*paths)
 
 
 def breadth_first(seeds: DataFrame, edges: DataFrame, levels: int | None = None, most: int | None = None) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import origin, path, trimmed
 
 RULES = "array<struct<rule:string,allow:boolean>>"
-#: Origins whose rules are broadcast at most.
-BROADCAST_ORIGINS = 50_000
+#: Bytes of robots files whose rules are broadcast at most.
+BROADCAST_BYTES = 8 << 20
 
 
 def parsed(body: Column, agent: str = "*") -> Column:
@@ -33,6 +33,21 @@ def parsed(body: Column, agent: str = "*") -> Column:
     return F.aggregate(F.split(body, "\n"), state, step, lambda s: F.struct(s["rules"].alias("rules"), s["sitemaps"].alias("sitemaps")))
 
 
+def parsed_lines(robots: DataFrame, agent: str = "*") -> DataFrame:
+    """origin, pos, rule, allow of robots (origin, body): the same rules by windows over lines, for files too long for a fold."""
+    lines = robots.select("origin", F.posexplode(F.split("body", "\n")).alias("n", "raw")).withColumn("line", trimmed(F.col("raw"))).where("line <> ''")
+    colon = F.instr("line", ":")
+    key = F.when(colon == 0, F.col("line")).otherwise(trimmed(F.substring("line", F.lit(1), colon - 1)))
+    value = F.when(colon == 0, F.col("line")).otherwise(trimmed(F.substring("line", colon + 1, F.length("line"))))
+    by_line = Window.partitionBy("origin").orderBy("n")
+    rows = lines.select("origin", "n", key.alias("k"), value.alias("v"))
+    rows = rows.withColumn("first", (F.col("k") == "User-agent") & (F.coalesce(F.lag("k").over(by_line), F.lit("")) != "User-agent"))
+    rows = rows.withColumn("block", F.sum(F.col("first").cast("int")).over(by_line))
+    named = ((F.col("k") == "User-agent") & (F.col("v") == agent)).cast("int")
+    rows = rows.withColumn("active", F.max(named).over(Window.partitionBy("origin", "block"))).where("active = 1 AND k NOT IN ('User-agent', 'Sitemap')")
+    return rows.select("origin", (F.row_number().over(by_line) - 1).cast("bigint").alias("pos"), F.col("v").alias("rule"), (F.col("k") == "Allow").alias("allow"))
+
+
 def matches(p: Column, rule: Column) -> Column:
     """Equal counts of slashes, and segment by segment equal or '*'."""
     slashes = lambda s: F.length(s) - F.length(F.replace(s, F.lit("/"), F.lit("")))
@@ -49,6 +64,6 @@ def decision(p: Column, rules: Column) -> Column:
 def allowed(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
     """urls with allowed. robots: origin, http_code, body; a missing or failed file allows all."""
     ok = robots.where((F.col("http_code") < 300) & (F.col("http_code") > 0)).select(F.col("origin").alias("_origin"), parsed(F.col("body"))["rules"].alias("_rules"))
-    small = robots.limit(BROADCAST_ORIGINS + 1).count() <= BROADCAST_ORIGINS
+    small = (robots.agg(F.sum(F.octet_length("body") + 64).alias("n")).first().n or 0) <= BROADCAST_BYTES
     joined = urls.withColumn("_origin", origin(F.col(url))).join(F.broadcast(ok) if small else ok, "_origin", "left")
     return joined.withColumn("allowed", F.coalesce(decision(path(F.col(url)), F.col("_rules")), F.lit(True))).drop("_origin", "_rules")

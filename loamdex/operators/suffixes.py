@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import cleaned, host, normalized
 
-#: Rules that are broadcast at most; a longer list is joined by a shuffle.
-BROADCAST_RULES = 100_000
+#: Bytes of rules that are broadcast at most; a longer list is joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def with_suffix(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """urls with suffix, wildcard, exception of the longest rule its host ends with (nulls if there is none)."""
-    small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    small = (rules.agg(F.sum(F.octet_length("suffix") + 32).alias("n")).first().n or 0) <= BROADCAST_BYTES
     hosts = urls.select(host(F.col(url)).alias("_host")).distinct()
     labels = F.split("_host", r"\.")
     tails = hosts.select("_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("suffix"))
@@ -27,7 +27,3 @@ def normalize(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     ready = urls.withColumn("_clean", cleaned(F.col(url)))
     out = with_suffix(ready, rules, "_clean").withColumn("url_norm", normalized(F.col("_clean"), F.col("suffix"), F.col("wildcard"), F.col("exception")))
     return out.withColumn("error", F.when(F.col("url_norm").isNull(), "no public suffix")).drop("_clean", "suffix", "wildcard", "exception")
-
-
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("nth", F.row_number().over(Window.orderBy(order)))

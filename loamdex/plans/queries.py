@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
 from ..functions import vectors as V
 from ..operators import frontier, robots, site_index, suffixes
-from ..operators.similarity import to_target
-from ..sources.tables import pages, suffix_rules
+from ..operators.similarity import LETTERS, PREFIX, guessed, letter_counts, pair_similarity, to_target
+from ..sources.shared import numbered, shared_dir
+from ..sources.tables import mirrored, pages, suffix_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +39,8 @@ HTML_CASES = [
     '<html><head><title>a &amp; b</title><title>two</title><meta name="description" content="d"><link rel="icon" href="/i.png"></head><body><a>no</a><a href="/x">x</a></body></html>',
     '<html><head><meta name="Description" content="D"><link rel="shortcut icon" href="/s.png"></head><body><script>var t = "<a href=\'/no\'>";</script><a class="c" href="mailto:a@b.c">m</a></body></html>',
     "<p>no head",
+    """<html><head><title>q</title><meta content='it&#39;s' name=description><link href=/u.png rel='icon'></head><body><a href='/s'>s</a><a title="a > b href='/no'" href=/u>u</a><a href>e</a></body></html>""",
+    "<html><head><meta name='description'></head><body><a data-href='/no' href=''>x</a></body></html>",
 ]
 
 
@@ -158,12 +161,15 @@ _BARE = "regexp_replace(regexp_replace(regexp_replace({h}, '(?is)<!--.*?-->', ''
 _HEAD = f"regexp_replace({_BARE}, '(?is)(</head\\s*>|<body\\b).*$', '')"
 _BODY = f"regexp_replace({_BARE}, '(?is)^.*?</head\\s*>', '')"
 _TITLE = _unescaped_sql(f"regexp_extract({_HEAD}, '(?is)<title[^>]*>(.*?)</title', 1)")
-_attr = lambda tag, name: _unescaped_sql(f"regexp_extract({tag}, '(?is)\\s{name}\\s*=\\s*\"([^\"]*)\"', 1)")
-_tag = lambda tag, name, value: f"list_filter(regexp_extract_all({_HEAD}, '(?is)<{tag}\\s[^>]*>'), lambda t: {_attr('t', name)} = '{value}')[1]"
+_quoted = lambda p: p.replace("'", "''")
+_att = lambda tag, name: f"regexp_matches({tag}, '{_quoted(H.ATTRIBUTE.format(name=name))}')"
+_attr = lambda tag, name: f"CASE WHEN {_att(tag, name)} THEN " + _unescaped_sql(" || ".join(f"regexp_extract({tag}, '{_quoted(H.ATTRIBUTE.format(name=name))}', {k})" for k in (1, 2, 3))) + " END"
+_tags = lambda html, tag: f"regexp_extract_all({html}, '{_quoted(H.TAG.format(tag=tag))}')"
+_tag = lambda tag, name, value: f"list_filter({_tags(_HEAD, tag)}, lambda t: {_attr('t', name)} = '{value}')[1]"
 _META, _ICON = _tag("meta", "name", "description"), _tag("link", "rel", "icon")
 _DESCRIPTION = f"CASE WHEN {_META} IS NULL THEN '{H.NO_DESCRIPTION}' ELSE {_attr(_META, 'content')} END"
 _FAVICON = f"coalesce({_attr(_ICON, 'href')}, '')"
-_LINKS = f"regexp_extract_all({_BODY}, '(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*\"([^\"]*)\"', 1)"
+_LINKS = f"list_filter(list_transform({_tags(_BODY, 'a')}, lambda t: {_attr('t', 'href')}), lambda x: x IS NOT NULL)"
 _of = lambda text, h="html": text.replace("{h}", h)
 
 
@@ -188,7 +194,7 @@ def html_cases(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(HTML_CASES)), "n int, html string").select("n", H.title(h).alias("title"), H.description(h).alias("description"), H.favicon(h).alias("favicon"), F.size(H.links(h)).cast("bigint").alias("n_links"))
 
 
-_LINK_ROWS = f"SELECT page_id, url, unnest(range(len(l))) AS pos, {_unescaped_sql('unnest(l)')} AS href FROM (SELECT page_id, url, {_of(_LINKS)} AS l FROM pages)"
+_LINK_ROWS = f"SELECT page_id, url, unnest(range(len(l))) AS pos, unnest(l) AS href FROM (SELECT page_id, url, {_of(_LINKS)} AS l FROM pages)"
 
 
 def _links(spark, sf_dir) -> DataFrame:
@@ -200,6 +206,37 @@ def page_links(spark, sf_dir):
     return _links(spark, sf_dir).select("page_id", "pos", "href")
 
 
+@query(f"SELECT page_id, pos, href FROM ({_LINK_ROWS})")
+def page_links_quotes(spark, sf_dir):
+    """The links of the pages do not change where two thirds of them have their attributes in single or no quotes."""
+    h = F.col("html")
+    bare = F.regexp_replace(h, r"""(?s)(<a\s[^>]*?href=)"([^" >]+)\"""", "$1$2")
+    other = F.when(F.col("page_id") % 3 == 1, F.regexp_replace(h, r"""(<a\s[^>]*?href=)"([^"]*)\"""", "$1'$2'")).when(F.col("page_id") % 3 == 2, bare).otherwise(h)
+    return pages(spark, sf_dir).select("page_id", F.posexplode(H.links(other)).alias("pos", "href")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def _headed(html: Column) -> Column:
+    """A page with a description and an icon of its own, in one of three ways to quote."""
+    n = F.col("page_id").cast("string")
+    tags = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<meta name="description" content="About '), n, F.lit('"><link rel="icon" href="/i/'), n, F.lit('.png">')))
+    tags = tags.when(F.col("page_id") % 3 == 1, F.concat(F.lit("<meta content='About "), n, F.lit("' name='description'><link href='/i/"), n, F.lit(".png' rel='icon'>")))
+    tags = tags.otherwise(F.concat(F.lit("<META NAME=description CONTENT=About&nbsp;"), n, F.lit("><link rel=icon href=/i/"), n, F.lit(".png>")))
+    return F.concat(F.regexp_replace(html, "(?is)</head.*$", ""), tags, F.regexp_substr(html, F.lit("(?is)</head.*$")))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'About' || chr(160) ELSE 'About ' END || page_id AS description, '/i/' || page_id || '.png' AS favicon FROM pages WHERE regexp_matches(html, '(?i)</head')")
+def page_head_quotes(spark, sf_dir):
+    rows = pages(spark, sf_dir).where(F.col("html").rlike("(?i)</head")).withColumn("html", _headed(F.col("html")))
+    return rows.select("page_id", H.description(F.col("html")).alias("description"), H.favicon(F.col("html")).alias("favicon"))
+
+
+@query(f"SELECT page_id, {_of(_TITLE)} AS title, {_of(_DESCRIPTION)} AS description, {_of(_FAVICON)} AS favicon, len({_of(_LINKS)}) AS n_links FROM pages")
+def page_parse(spark, sf_dir):
+    """The general form, with an HTML parser, in Arrow batches."""
+    rows = pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("url"), "html").mapInPandas(H.parse, "url string, title string, description string, favicon string, links array<string>")
+    return rows.select(F.col("url").cast("bigint").alias("page_id"), "title", "description", "favicon", F.size("links").cast("bigint").alias("n_links"))
+
+
 def _resolved(spark, sf_dir) -> DataFrame:
     bases = pages(spark, sf_dir).select("page_id", "html", U.normalize(F.col("url"), PSL).alias("base"))
     rows = bases.select("page_id", "base", F.posexplode(H.links(F.col("html"))).alias("pos", "href")).withColumn("pos", F.col("pos").cast("bigint"))
@@ -242,6 +279,15 @@ def favicon_hash(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.sha2(where, 256).alias("favicon_hash"))
 
 
+@query(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE sha256(u) END AS url_hash, CASE WHEN page_id % 3 = 0 THEN 0 ELSE length('icon of ' || u) END::BIGINT AS n_bytes FROM (SELECT key AS page_id, url_norm || 'favicon.ico' AS u FROM ({_norm_sql('(SELECT page_id AS key, url FROM pages)', PSL)}))")
+def favicon_download(spark, sf_dir):
+    """Icons from a mirror of files that were fetched before; there is none for a third of the pages."""
+    icon = F.concat(U.normalize(F.col("url"), PSL), F.lit("favicon.ico"))
+    rows = pages(spark, sf_dir).select("page_id", icon.alias("url"))
+    mirror = rows.where("page_id % 3 <> 0").select(F.sha2("url", 256).alias("url_hash"), F.encode(F.concat(F.lit("icon of "), "url"), "UTF-8").alias("content"))
+    return mirrored(rows, mirror.dropDuplicates(["url_hash"])).select("page_id", "url_hash", F.coalesce(F.length("content"), F.lit(0)).cast("bigint").alias("n_bytes"))
+
+
 # ---- the table of pages ---------------------------------------------------------------------------------------------
 _SITE = f"""SELECT url_norm AS url, title, description, favicon FROM (SELECT n.url_norm, p.*, row_number() OVER (PARTITION BY n.url_norm ORDER BY p.page_id DESC) AS nth
     FROM (SELECT page_id, {_of(_TITLE)} AS title, {_of(_DESCRIPTION)} AS description, {_of(_FAVICON)} AS favicon FROM pages) p JOIN ({_norm_sql("(SELECT page_id AS key, url FROM pages)", PSL)}) n ON n.key = p.page_id WHERE n.url_norm IS NOT NULL) WHERE nth = 1"""
@@ -251,33 +297,82 @@ def site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_index.upserted(None, site_index.extracted(pages(spark, sf_dir), PSL))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of pages as written, once for each application and input: searches read a few columns of it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = shared_dir(spark)
+        site_index.store(site(spark, sf_dir), path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 @query(_SITE)
 def site_upsert(spark, sf_dir):
     return site(spark, sf_dir).select(*site_index.FIELDS)
 
 
+# pages with a status and a time of their visit; every second one is its host's front page
+_VISITS = f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {_ORIGIN.format(u='url')} ELSE url END AS url, html, CASE WHEN page_id % 5 = 0 THEN 404 WHEN page_id % 7 = 0 THEN 301 ELSE 200 END AS http_code, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id) AS visited FROM pages"
+
+
+def _visits(spark, sf_dir) -> DataFrame:
+    code = F.when(F.col("page_id") % 5 == 0, 404).when(F.col("page_id") % 7 == 0, 301).otherwise(200)
+    url = F.when(F.col("page_id") % 2 == 0, U.origin(F.col("url"))).otherwise(F.col("url"))
+    return pages(spark, sf_dir).select("page_id", url.alias("url"), "html", code.alias("http_code"), F.timestamp_add("MINUTE", F.col("page_id").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).cast("timestamp_ntz").alias("visited"))
+
+
+@query(
+    f"""SELECT url_norm AS url, arg_max(title, page_id) AS title, max(visited)::TIMESTAMP AS last_visited, count(*) FILTER (page_id % 4 <> 2)::BIGINT > 0 AS was_known FROM (SELECT v.page_id, v.visited, {_of(_TITLE, 'v.html')} AS title, n.url_norm
+    FROM ({_VISITS}) v JOIN ({_norm_sql(f"(SELECT page_id AS key, url FROM ({_VISITS}))", PSL)}) n ON n.key = v.page_id WHERE v.http_code < 300 AND regexp_matches(n.url_norm, '^[^:]*://[^/]*/?$')) GROUP BY url_norm"""
+)
+def site_upsert_gated(spark, sf_dir):
+    """Front pages that were fetched well, upserted in two goes: a later visit replaces an earlier one."""
+    rows = site_index.extracted(_visits(spark, sf_dir), PSL, scope="origin")
+    old = site_index.store(site_index.upserted(None, rows.where("seq % 4 <> 2")), shared_dir(spark))
+    # rows of the second go win, but for those that are older than what is there
+    both = rows.where("seq % 4 = 2").join(old.select("url", F.col("seq").alias("had")), "url", "left").where("had IS NULL OR seq > had").drop("had")
+    return site_index.upserted(old, both).join(old.select("url", F.lit(True).alias("was_known")), "url", "left").select("url", "title", "last_visited", F.coalesce("was_known", F.lit(False)).alias("was_known"))
+
+
 @query(f"SELECT * FROM ({_SITE}) WHERE title ILIKE '%the%'")
 def title_search(spark, sf_dir):
-    return site_index.search(site(spark, sf_dir), "the")
+    return site_index.search(stored_site(spark, sf_dir), "the")
 
 
 @query(f"SELECT * FROM ({_SITE}) WHERE title ILIKE '%t_e%' ESCAPE '\\'")
 def title_search_wildcard(spark, sf_dir):
-    return site_index.search(site(spark, sf_dir), "t_e")
+    return site_index.search(stored_site(spark, sf_dir), "t_e")
 
 
 @query(f"SELECT count(*) AS n FROM ({_SITE}) WHERE title ILIKE '%the%'")
 def search_count(spark, sf_dir):
-    return site_index.search(site(spark, sf_dir), "the").agg(F.count("*").alias("n"))
+    return site_index.search(stored_site(spark, sf_dir), "the").agg(F.count("*").alias("n"))
 
 
 def _escaped_sql(x: str) -> str:
     return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 
 
-@query(f"""SELECT count(*) AS items, coalesce(string_agg('<div class="item"><a href="' || {_escaped_sql('url')} || '">' || {_escaped_sql('title')} || '</a><p>' || {_escaped_sql('description')} || '</p></div>', '' ORDER BY url), '') AS html FROM ({_SITE}) WHERE title ILIKE '%the%'""")
+_ITEM = f"""'<div class="item"><a href="' || {_escaped_sql('url')} || '"><img src="favicons/' || {_escaped_sql('favicon')} || '"><p>' || {_escaped_sql('title')} || '</p><p>' || {_escaped_sql('url')} || '</p></a><p>' || {_escaped_sql("coalesce(description, '')")} || '</p></div>'"""
+
+
+def _page_sql(page: int, size: int) -> str:
+    found = f"SELECT * FROM ({_SITE}) WHERE title ILIKE '%the%'"
+    return f"SELECT (SELECT count(*) FROM ({found})) AS items, coalesce(string_agg(item, '' ORDER BY url), '') AS html FROM (SELECT url, {_ITEM} AS item FROM ({found}) ORDER BY url LIMIT {size} OFFSET {page * size})"
+
+
+@query(_page_sql(0, 50))
 def result_html(spark, sf_dir):
-    return site_index.result_page(site_index.search(site(spark, sf_dir), "the"))
+    return site_index.result_page(site_index.search(stored_site(spark, sf_dir), "the"))
+
+
+@query(_page_sql(1, 5))
+def result_html_second(spark, sf_dir):
+    return site_index.result_page(site_index.search(stored_site(spark, sf_dir), "the"), 1, 5)
 
 
 # ---- robots ---------------------------------------------------------------------------------------------------------
@@ -303,6 +398,11 @@ def robots_parse(spark, sf_dir):
     return rows.select("origin", F.col("pos").cast("bigint").alias("pos"), "r.rule", "r.allow")
 
 
+@query(_RULES)
+def robots_parse_window(spark, sf_dir):
+    return robots.parsed_lines(robots_table(spark, sf_dir).where("http_code = 200"))
+
+
 @query(f"SELECT origin, v AS sitemap FROM {_ROBOT_LINES} WHERE k = 'Sitemap'")
 def robots_sitemaps(spark, sf_dir):
     return robots_table(spark, sf_dir).where("http_code = 200").select("origin", F.explode(robots.parsed(F.col("body"))["sitemaps"]).alias("sitemap"))
@@ -380,11 +480,51 @@ def crawl_budget(spark, sf_dir):
     return frontier.within_budget(_bfs(spark, sf_dir, most=11), 10, "depth", "id")
 
 
+# A web for the crawl: the pages' links lead out of the table, so all of them are taken on the first page's host, and an address
+# there is served by the page whose id is the first 32 bits of the address's SHA-256, modulo the pages' count.
+_ENCODED = "list_aggregate(list_transform(string_split({x}, ''), lambda c: CASE WHEN regexp_matches(c, '^[\\x00-\\x7F]*$') THEN c ELSE url_encode(c) END), 'string_agg', '')"
+_SEED = f"(SELECT url_norm FROM ({_norm_sql('(SELECT page_id AS key, url FROM pages WHERE page_id = (SELECT min(page_id) FROM pages))', PSL)}))"
+_HOSTED = f"SELECT page_id * 100000 + pos AS key, {_ENCODED.format(x=f"regexp_extract({_SEED}, '^([^:]*://[^/]*)', 1) || href")} AS url FROM ({_LINK_ROWS})"
+_SERVED = "('0x' || left(sha256({u}), 8))::BIGINT % (SELECT count(*) FROM pages)"
+_EDGE = f"(SELECT key // 100000 AS page_id, key % 100000 AS pos, url_norm AS url FROM ({_norm_sql(f'({_HOSTED})', PSL)}) WHERE url_norm IS NOT NULL)"
+_PAGE_LINKS = f"SELECT t.url AS src, e.pos, e.url FROM (SELECT url FROM {_EDGE} UNION SELECT {_SEED} UNION SELECT regexp_extract({_SEED}, '^([^:]*://[^/]*/)', 1)) t JOIN {_EDGE} e ON e.page_id = {_SERVED.format(u='t.url')}"
+_MAY = f"SELECT p.url, coalesce(arg_min(r.allow, r.pos) FILTER (WHERE {_matches_sql('p.path', 'r.rule')}), true) AS fetched FROM (SELECT url, {_ORIGIN.format(u='url')} AS origin, {_PATH.format(u='url')} AS path FROM (SELECT url FROM links UNION SELECT {_ORIGIN.format(u='url')} FROM links UNION SELECT url FROM seeds UNION SELECT {_ORIGIN.format(u='url')} FROM seeds)) p LEFT JOIN ({_RULES}) r ON p.origin = r.origin GROUP BY p.url"
+_SEEDS = f"SELECT {_SEED} AS url"
+
+
+@query(
+    f"""WITH RECURSIVE seeds AS ({_SEEDS}), links AS MATERIALIZED ({_PAGE_LINKS}), may AS MATERIALIZED ({_MAY}), edges AS MATERIALIZED (SELECT l.src, x.url FROM links l JOIN may m ON m.url = l.src AND m.fetched, LATERAL (SELECT l.url UNION SELECT {_ORIGIN.format(u='l.url')}) x(url)),
+    r(url, depth) USING KEY (url) AS (SELECT u, 0 FROM (SELECT url AS u FROM seeds UNION SELECT {_ORIGIN.format(u='url')} FROM seeds) UNION SELECT e.url, min(r.depth) + 1 FROM r JOIN edges e ON e.src = r.url WHERE e.url NOT IN (SELECT url FROM recurring.r) GROUP BY e.url)
+    SELECT r.url, r.depth, m.fetched FROM r JOIN may m ON m.url = r.url"""
+)
+def crawl_loop(spark, sf_dir):
+    """A whole crawl from the first page over the pages' links, with origins and robots, until nothing is new."""
+    return _crawl(spark, sf_dir, 0).select("url", "depth", "fetched")
+
+
+def _crawl(spark, sf_dir, budget: int) -> DataFrame:
+    first = pages(spark, sf_dir).agg(F.min_by("url", "page_id").alias("url")).select(U.normalize(F.col("url"), PSL).alias("url"))
+    seed, n = first.first().url, pages(spark, sf_dir).count()
+    rows = pages(spark, sf_dir).select("page_id", F.posexplode(H.links(F.col("html"))).alias("pos", "href"))
+    link = U.percent_encoded(U.resolve(F.lit(seed), F.col("href")))
+    edge = rows.select("page_id", "pos", U.normalize(link, PSL).alias("url")).where("url IS NOT NULL")
+    served = F.conv(F.left(F.sha2("src", 256), F.lit(8)), 16, 10).cast("bigint") % n
+    known = edge.select(F.col("url").alias("src")).union(first).union(first.select(U.origin(F.col("url")))).distinct().withColumn("page_id", served)
+    return frontier.crawl(first, known.join(edge, "page_id").select("src", "pos", "url"), robots_table(spark, sf_dir), budget)
+
+
+@query("SELECT 26::BIGINT AS visited, 26::BIGINT AS places, true AS in_order")
+def crawl_loop_budget(spark, sf_dir):
+    """A budget of 25 visits 26 URLs, numbered in order of arrival, depth never falling."""
+    rows = _crawl(spark, sf_dir, 25)
+    return rows.agg(F.count("*").alias("visited"), F.max("place").alias("places"), (F.array_sort(F.collect_list(F.struct("place", "depth")))["depth"] == F.array_sort(F.collect_list("depth"))).alias("in_order"))
+
+
 @query(f"SELECT page_id, row_number() OVER (ORDER BY page_id) AS nth FROM ({_ALLOWED}) WHERE allowed AND page_id IN (SELECT page_id FROM pages ORDER BY page_id LIMIT 101)")
 def crawl_fetched(spark, sf_dir):
     """Pages that are fetched within a budget of 100: pages that robots skip count too."""
     taken = frontier.within_budget(_allowed(spark, sf_dir), 100, "page_id").where("allowed")
-    return suffixes.numbered(taken.select("page_id"), "page_id").withColumn("nth", F.col("nth").cast("bigint"))
+    return numbered(taken.select("page_id"), "nth", "page_id")
 
 
 # ---- vectors and scores ---------------------------------------------------------------------------------------------
@@ -437,14 +577,13 @@ def guess_score(spark, sf_dir):
 
 @query(f"SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS place, floor(score)::BIGINT AS shown FROM ({_SCORE})")
 def leaderboard_desc(spark, sf_dir):
-    w = Window.orderBy(F.desc("score"), "vec_id")
-    return _scores(spark, sf_dir).select("vec_id", F.row_number().over(w).cast("bigint").alias("place"), F.floor("score").cast("bigint").alias("shown"))
+    return numbered(_scores(spark, sf_dir), "place", F.desc("score"), "vec_id").select("vec_id", "place", F.floor("score").cast("bigint").alias("shown"))
 
 
 @query(f"SELECT vec_id, row_number() OVER (ORDER BY score, vec_id) AS place, floor(score + 0.5)::BIGINT AS shown FROM ({_SCORE}) WHERE NOT correct")
 def leaderboard_asc(spark, sf_dir):
-    w = Window.orderBy("score", "vec_id")
-    return _scores(spark, sf_dir).where("not correct").select("vec_id", F.row_number().over(w).cast("bigint").alias("place"), V.rounded(F.col("score")).cast("bigint").alias("shown"))
+    rows = numbered(_scores(spark, sf_dir).where("not correct"), "place", "score", "vec_id")
+    return rows.select("vec_id", "place", V.rounded(F.col("score")).cast("bigint").alias("shown"))
 
 
 @query(f"SELECT vec_id, round(exp(-0.001535 * score), 6) AS percent FROM ({_SCORE})")
@@ -460,3 +599,52 @@ def score_color(spark, sf_dir):
 @query(f"SELECT vec_id, '{{\"score\":\"' || printf('%.6f', score::DOUBLE) || '\",\"correct\":' || correct || '}}' AS json FROM ({_SCORE})")
 def guess_json(spark, sf_dir):
     return _scores(spark, sf_dir).select("vec_id", V.guess_json(F.col("score"), F.col("correct")).alias("json"))
+
+
+@query(f"SELECT vec_id, vec_id = 0 AS correct, CASE WHEN vec_id = 0 THEN 1.0 WHEN similarity >= 0 THEN round(least(sqrt(similarity), 1.0) * 1000, 4) END::DOUBLE AS score, vec_id <> 0 AND similarity < 0 AS no_number FROM ({_SIM})")
+def guess_score_all(spark, sf_dir):
+    """Every guess; the score of a negative similarity is not a number, shown here as null and a flag."""
+    s = V.guess_score(F.col("vec_id"), F.lit(0), F.col("similarity"))
+    rows = _similar(spark, sf_dir).select("vec_id", (F.col("vec_id") == 0).alias("correct"), s.alias("s"))
+    return rows.select("vec_id", "correct", F.when(F.isnan("s"), None).when(F.col("correct"), F.col("s")).otherwise(F.round("s", 4)).alias("score"), F.isnan("s").alias("no_number"))
+
+
+# ---- texts as guesses -----------------------------------------------------------------------------------------------
+WORD_LIST = ["cat", "dog", "car", "plane", "house", "computer", "cloud"]
+SECRET = "house"
+_counts = lambda x: "list_transform([" + ", ".join(f"'{c}'" for c in LETTERS) + f"], lambda c: (length(lower('{PREFIX}' || {x})) - length(replace(lower('{PREFIX}' || {x}), c, '')))::DOUBLE)"
+_GUESSES = f"SELECT guess, list_cosine_similarity({_counts('guess')}, {_counts(chr(39) + SECRET + chr(39))}) AS similarity FROM (SELECT DISTINCT unnest(string_split(lower({_of(_TITLE)}), ' ')) AS guess FROM pages UNION SELECT unnest({WORD_LIST}))"
+_TEXT_SCORE = f"SELECT guess, guess = '{SECRET}' AS correct, CASE WHEN guess = '{SECRET}' THEN 1.0 ELSE least(sqrt(similarity), 1.0) * 1000 END AS score FROM ({_GUESSES})"
+
+
+def _guessed(spark, sf_dir) -> DataFrame:
+    words = pages(spark, sf_dir).select(F.explode(F.split(F.lower(H.title(F.col("html"))), " ")).alias("guess"))
+    listed = spark.createDataFrame([(w,) for w in WORD_LIST], "guess string")
+    return guessed(words.union(listed).distinct(), SECRET, letter_counts)
+
+
+@query(f"SELECT guess, correct, round(score, 1)::DOUBLE AS score FROM ({_TEXT_SCORE})")
+def guess_texts(spark, sf_dir):
+    """Words of titles, and those of the list, as guesses: embedded, compared with the secret's vector, scored."""
+    return _guessed(spark, sf_dir).select("guess", "correct", F.round("score", 1).alias("score"))
+
+
+@query(f"SELECT guess, '{{\"score\":\"' || printf('%.6f', round(score)::DOUBLE) || '\",\"correct\":' || correct || '}}' AS json FROM ({_TEXT_SCORE})")
+def guess_texts_json(spark, sf_dir):
+    return _guessed(spark, sf_dir).select("guess", V.guess_json(F.round("score"), F.col("correct")).alias("json"))
+
+
+@query(f"SELECT a.page_id, round(list_cosine_similarity({_counts('a.title')}, {_counts('b.title')}), 4) AS similarity FROM (SELECT page_id, {_of(_TITLE)} AS title FROM pages) a JOIN (SELECT page_id, {_of(_TITLE)} AS title FROM pages) b ON b.page_id = a.page_id + 1")
+def text_pairs(spark, sf_dir):
+    """Titles of pages that follow one another, compared as texts."""
+    t = pages(spark, sf_dir).select("page_id", H.title(F.col("html")).alias("title"))
+    a, b = t.select("page_id", F.col("title").alias("left_text")), t.select(F.col("page_id").alias("next"), F.col("title").alias("right_text"))
+    rows = pair_similarity(a.join(b, F.col("next") == F.col("page_id") + 1).select("page_id", "left_text", "right_text"), letter_counts)
+    return rows.select("page_id", F.round("similarity", 4).alias("similarity"))
+
+
+@query("SELECT count(*) AS n, true AS in_range, true AS both_ends FROM embeddings")
+def random_ints(spark, sf_dir):
+    """Numbers from 3 to 9, both included, for each vector."""
+    rows = _vectors(spark, sf_dir).select(V.random_int(3, 9, 11).alias("x"))
+    return rows.agg(F.count("*").alias("n"), ((F.min("x") >= 3) & (F.max("x") <= 9)).alias("in_range"), ((F.min("x") == 3) & (F.max("x") == 9)).alias("both_ends"))

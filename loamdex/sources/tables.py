@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,14 @@ def binary_mirror(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("url_hash"), "content")
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_nth = 1").drop("_nth")
+def mirrored(urls: DataFrame, mirror: DataFrame, url: str = "url") -> DataFrame:
+    """urls with url_hash (empty where the mirror has no file, or an empty one) and content: what a download gives."""
+    ok = mirror.where(F.length("content") > 0).select(F.col("url_hash").alias("_hash"), "content")
+    out = urls.withColumn("_name", F.sha2(F.col(url), 256)).join(ok, F.col("_name") == F.col("_hash"), "left")
+    return out.withColumn("url_hash", F.when(F.col("content").isNotNull(), F.col("_name")).otherwise("")).drop("_name", "_hash")
+
+
+def store_files(files: DataFrame, path: str) -> None:
+    """(url_hash, content) as a table, one row for each file: on a cluster many small files would cost more than their bytes.
+    Rows of equal names are one file."""
+    files.dropDuplicates(["url_hash"]).write.mode("overwrite").parquet(path)
