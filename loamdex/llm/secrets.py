@@ -2,8 +2,8 @@
 
 Base spans (assign, access, hex by fixed rules) always stay. Beside them stand weak parts: identifiers (names of accounts or
 clients given a value), opaque strings that could be a secret, and endpoints. Parts are rows with a place; an interval join
-over scopes of SCOPE code points (an equality on the document and on the scope's number, with neighbours, then the distance)
-finds which have a complement nearby: an opaque string is reported if an identifier or access id is, an identifier if a
+over scopes of SCOPE code points (an equality on the document and on the number of each scope that a part touches, with
+neighbours, then the distance) finds which have a complement nearby: an opaque string is reported if an identifier or access id is, an identifier if a
 secret of any kind is, an endpoint if both are. A part alone is not reported.
 
 A null text counts as empty. Repeated rows get equal results; other columns are not read. An empty table gives no rows.
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .spans import SPAN, joined, none, ordered, spans
+from .spans import SPAN, clear, joined, let, none, ordered, spans
 
 BASE, WEAK = ["assign", "access", "hex"], ["opaque", "identifier", "endpoint"]
 KINDS = BASE + WEAK
@@ -43,17 +43,19 @@ def parts(docs: DataFrame) -> DataFrame:
     found["opaque"] = F.filter(found["opaque"], lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]"))
     out = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), *(c.cast(SPAN).alias(k) for k, c in found.items()))
     base = ordered(F.concat(*BASE).cast(SPAN), KINDS, kind_first=False)
-    free = F.filter(F.concat(*WEAK).cast(SPAN), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = let(F.struct(F.concat(*WEAK).cast(SPAN).alias("w"), F.col("base").alias("b")), lambda x: clear(x["w"], x["b"]))
     return out.withColumn("base", base).withColumn("weak", free).select("doc_id", "text_hash", "base", "weak")
 
 
 def near(left: DataFrame, right: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Rows of left (doc_id, text_hash, start, end, ...) that have one of right in the same document at most `scope` away."""
+    """Rows of left (doc_id, text_hash, start, end, ...) that have one of right in the same document at most `scope` away,
+    whichever comes first and however long either is: both are dealt to all scopes that they touch, right to those beside too."""
     number = lambda c: F.floor(F.col(c) / scope)
     spread = right.select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.explode(F.sequence(number("start") - 1, number("end") + 1)).alias("r_scope")).distinct()
     close = (F.col("r_start") <= F.col("end") + scope) & (F.col("start") <= F.col("r_end") + scope)
-    rows = left.withColumn("scope", number("start"))
-    return rows.join(spread, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")) & (F.col("scope") == F.col("r_scope")) & close, "left_semi").drop("scope")
+    rows = left.withColumn("scope", F.explode(F.sequence(number("start"), number("end"))))
+    same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")) & (F.col("scope") == F.col("r_scope"))
+    return rows.join(spread, same & close, "left_semi").drop("scope").distinct()
 
 
 def linked(rows: DataFrame) -> DataFrame:
