@@ -37,24 +37,23 @@ _BLANK = r"[\x20\x09-\x0D]"
 
 
 def _repeated(w: Column) -> Column:
-    """How many words are in 3-word windows that the text has twice or more."""
+    """How many words are in 3-word windows that the text has twice or more. Windows are told apart by 96 bits of two hashes:
+    in a text of 10 million words the chance of one false repeat is under 10 ** -14."""
     n = F.size(w)
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
+    three = lambda i: (F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(*three(i)))).otherwise(F.array().cast("array<bigint>"))
 
     def count(h: Column) -> Column:
-        # hash and place in one number, sorted: equal windows side by side
-        bits = F.ceil(F.log2(F.size(h) + 1)).cast("int")
-        key = lambda x: F.call_function("shiftright", x, bits)
-        packed = F.sort_array(F.transform(h, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("bigint"))))
+        # hashes and place, sorted: equal windows side by side
+        keyed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), F.hash(*three(i)).alias("g"), i.alias("i"))))
 
         def covered(s: Column) -> Column:
-            same = lambda x, y: F.coalesce(key(x) == key(y), F.lit(False))
+            same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["g"] == y["g"]), F.lit(False))
             again = F.filter(s, lambda x, i: ((i > 0) & same(x, F.get(s, F.greatest(i - 1, F.lit(0))))) | same(x, F.get(s, i + 1)))
-            mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
-            places = F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask)))
-            return let(places, lambda p: F.aggregate(F.transform(p, lambda x, i: F.when(i == 0, F.lit(3).cast("bigint")).otherwise(F.least(F.lit(3).cast("bigint"), x - F.get(p, F.greatest(i - 1, F.lit(0)))))), F.lit(0).cast("bigint"), lambda a, x: a + x))
+            places = F.sort_array(F.transform(again, lambda x: x["i"]))
+            return let(places, lambda p: F.aggregate(F.transform(p, lambda x, i: F.when(i == 0, 3).otherwise(F.least(F.lit(3), x - F.get(p, F.greatest(i - 1, F.lit(0)))))), F.lit(0).cast("bigint"), lambda a, x: a + x))
 
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(let(packed, covered))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(let(keyed, covered))
 
     return let(windows, count)
 
