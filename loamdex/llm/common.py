@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import pickle
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize, shared_dir  # noqa: F401  what operators here use
+
 #: Rows that one Arrow batch may hold: long texts keep a Python worker's memory small.
 BATCH_ROWS = 1000
 
@@ -21,21 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder path under spark.checkpoint.dir, which executors and driver share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/loamdex-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds an Arrow batch by rows and, where this Spark knows the setting, by bytes; lets workers import this package."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -25,6 +25,9 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+_SPELT = dict(enumerate(byte_letters()))
+
+
 def vocabulary() -> str:
     """Path of the tokenizer that the queries use; the operators take any such path as a parameter."""
     import public_tokenizers
@@ -43,16 +46,15 @@ def memo(path: str) -> Memo:
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    tokenize, plain, pack = tok.model.tokenize, _plain(tok), struct.pack
+    tokenize, whole, pack = tok.model.tokenize, _whole(tok), struct.pack
 
     def fill(texts: list[str]) -> list[tuple[bytes]]:
-        out, rest = [(b"",)] * len(texts), []
+        out, words, rest = [(b"",)] * len(texts), [], []
         for k, t in enumerate(texts):
-            if word := plain(t):
-                ids = [x.id for x in tokenize(word)]
-                out[k] = (pack(f"<{len(ids)}I", *ids),)
-            else:
-                rest.append(k)
+            (words if whole(t) else rest).append(k)
+        for k, word in zip(words, _spelt([texts[k] for k in words]), strict=True):
+            ids = [x.id for x in tokenize(word)]
+            out[k] = (pack(f"<{len(ids)}I", *ids),)
         for k, e in zip(rest, tok.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False) if rest else (), strict=True):
             out[k] = (np.asarray(e.ids, "<u4").tobytes(),)
         return out
@@ -60,18 +62,17 @@ def memo(path: str) -> Memo:
     return Memo(fill)
 
 
-def _plain(tok) -> Callable[[str], str | None]:
-    """What this tokenizer's normaliser and patterns make of a piece of Latin letters, if they leave such a piece whole: it in
-    lower case, its bytes as letters; None for other pieces."""
-    letter = "".join(byte_letters())
-    words = [x + y for x, y in zip(_LATIN, _LATIN[1:], strict=False)]
-    spelt = lambda t: t.lower().encode().decode("latin-1").translate(table)
-    table = {b: c for b, c in enumerate(letter)}
-    if not all(tok.normalizer is not None and [x for x, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(w))] == [spelt(w)] for w in words):
+def _spelt(words: list[str]) -> list[str]:
+    """Words in lower case, their bytes as letters; all at once, with a line feed between."""
+    return "\n".join(words).lower().encode().decode("latin-1").translate(_SPELT).split(_SPELT[10]) if words else []
+
+
+def _whole(tok) -> Callable[[str], object]:
+    """Tells pieces of Latin letters, of which this tokenizer's normaliser and patterns make one word, if they do."""
+    pairs = [x + y for x, y in zip(_LATIN, _LATIN[1:], strict=False)]
+    if tok.normalizer is None or any([x for x, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(w))] != _spelt([w]) for w in pairs):
         return lambda t: None
-    match = re.compile(f"[{_LATIN}]+").fullmatch
-    simple = re.compile("[a-z]+").fullmatch
-    return lambda t: t if simple(t) else spelt(t) if match(t) else None
+    return re.compile(f"[{_LATIN}]+").fullmatch
 
 
 def encoded(column: pa.Array, path: str) -> Iterator[bytes]:
