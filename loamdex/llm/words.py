@@ -29,11 +29,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def fold(data: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Lower-case bytes with 0 between words; of letters beyond ASCII, those of Latin-1 are lowered too."""
+    """Lower-case bytes with 0 between words; of letters beyond ASCII, those of Latin-1 are lowered too. Marks of Latin-1,
+    general punctuation and the first marks for East Asian scripts, and spaces among all these, stand between words."""
     out = table[data]
-    if len(out) > 1:
-        latin = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
-        out[1:][latin] += 0x20
+    if len(out) > 2:
+        two, latin, three, east = (np.flatnonzero(data[:-1] == b) for b in (0xC2, 0xC3, 0xE2, 0xE3))
+        after = data[two + 1]
+        two = two[(after != 0xAA) & (after != 0xB5) & (after != 0xBA)]
+        after = data[latin + 1]
+        two = np.concatenate((two, latin[(after == 0x97) | (after == 0xB7)]))
+        out[latin[(after <= 0x9E) & (after != 0x97)] + 1] += 0x20
+        out[two] = out[two + 1] = 0
+        last = np.concatenate((three[data[three + 1] == 0x80], east[data[east + 1] == 0x80]))
+        last = last[last < len(out) - 2]
+        last = last[(data[last] == 0xE2) | (data[last + 2] <= 0x82)]
+        for k in range(3):
+            out[last + k] = 0
     return out
 
 
