@@ -5,7 +5,7 @@ gives whole sequences, then pieces that fill slots: a rest of r ids gives a piec
 whole to a slot that it fills but for SLACK of it. Rests narrower than the last slot form the last class, which is filled
 by next fit: its pieces stand one after the other and are cut where a sequence ends.
 
-Bins are filled independently: a piece's number in its class is its number in its bucket of documents plus the counts of
+Bins are filled independently: a piece's number in its class is its number in its bucket of pieces plus the counts of
 the buckets before, so one row for each bucket and class is all that meets. Pieces that make no whole bin of their class
 (fewer than k each) are packed by decreasing length into shared sequences. The last class's last sequence is cut at
 powers of two, which need no padding.
@@ -30,8 +30,9 @@ from .tokens import mapped, vocabulary
 CAPACITY, END = 4096, 2
 #: Classes, and the part of a slot that may stay empty rather than cut a document once more.
 CLASSES, SLACK = 16, 1 / 64
-#: Buckets of documents that are numbered independently.
-BUCKETS = 1024
+#: Pieces of a bucket, in which pieces are numbered independently, about; how many buckets there are at least and at most (a
+#: row for each bucket and class is broadcast, 300,000 rows at most).
+BUCKET, LEAST, MOST = 200_000, 64, 16_384
 
 
 def slots(length: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[int, int]]:
@@ -70,14 +71,17 @@ def pack(docs: DataFrame, path: str, end: int = END, capacity: int = CAPACITY, c
         yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(k, pa.int64())), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "ids"])
 
     pieces = docs.select("doc_id", "text").mapInArrow(mapped(cut, path), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, class int, ids binary")
-    pieces = materialize(pieces.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(BUCKETS)).cast("int")))
+    # dealt by a written number of each piece, so that no id, however often it stands there, fills a bucket
+    pieces = materialize(pieces.withColumn("piece", F.monotonically_increasing_id()))
+    buckets = min(MOST, max(LEAST, pieces.count() // BUCKET))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("int"))
 
-    # how many pieces, and in the last class how many ids, the buckets before hold: at most BUCKETS x CLASSES rows
+    # how many pieces, and in the last class how many ids, the buckets before hold: at most MOST x CLASSES rows
     size = F.when(F.col("class") == 0, F.col("length")).otherwise(1)
     sums = pieces.groupBy("class", "bucket").agg(F.sum(size).alias("n"))
     sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("bucket")) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("class")))
-    upto = Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    placed = pieces.withColumn("nth", F.sum(size).over(upto) - size).join(F.broadcast(sums.drop("n")), ["class", "bucket"]).withColumn("nth", F.col("nth") + F.col("before")).drop("before", "bucket")
+    upto = Window.partitionBy("class", "bucket").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
+    placed = pieces.withColumn("nth", F.sum(size).over(upto) - size).join(F.broadcast(sums.drop("n")), ["class", "bucket"]).withColumn("nth", F.col("nth") + F.col("before")).drop("before", "bucket", "piece")
 
     # sequence_id: a sequence's number in its class, then the class; the shared ones have class `classes`
     seq = lambda number, c: number * (classes + 1) + c
