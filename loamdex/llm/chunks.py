@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from .common import blocks, utf8
 
 #: Pieces that one generation of the memo holds, and bytes of the longest piece that it keeps.
-MEMO_PIECES, MEMO_BYTES = 450_000, 64
+MEMO_PIECES, MEMO_BYTES = 340_000, 64
 #: Bytes of text handled together.
 BLOCK = 4 << 20
 #: Bytes with ASCII letters in lower case; which are ASCII marks (but for the apostrophe, which begins pieces of words).
