@@ -22,10 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/loamdex-{uuid.uuid4().hex}"
 
 
+def until_the_end(spark: SparkSession, path: str) -> None:
+    """A written folder is deleted when the application ends: results may be read from it until then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).deleteOnExit(folder)
+
+
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """df written to the shared folder as Parquet and read again: cuts lineage and survives lost executors."""
     path = path or shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    until_the_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
