@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize, shared_dir  # noqa: F401  what operators here use
+from ..sources.shared import materialize, shared_dir, until_the_end  # noqa: F401  what operators here use
 
 #: Rows that one Arrow batch may hold: long texts keep a Python worker's memory small.
 BATCH_ROWS = 1000

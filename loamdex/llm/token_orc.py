@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, small_batches, table
 from .chunks import gathered
+from .common import materialize, shared_dir, small_batches, table, until_the_end
 from .tokens import memo, vocabulary
 
 END = 1
@@ -91,4 +91,5 @@ def token_index(spark: SparkSession, path: str, doc_type: str = "long") -> DataF
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_tokens(table(spark, sf_dir, "documents"), path, vocabulary())
+    until_the_end(spark, path)
     return token_index(spark, path)
