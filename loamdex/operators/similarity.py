@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, guess_score
+from ..sources.shared import on_workers
 
 PREFIX = "search_query: "
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -27,6 +28,7 @@ def letter_counts() -> Callable[[list[str]], list[list[float]]]:
 def embed(texts: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], column: str = "text") -> DataFrame:
     """texts with embedding (unit length). load gives a function from texts to vectors, once for each worker process: it must
     be a function of a module, by which the worker knows it."""
+    on_workers(texts.sparkSession)
     names = texts.columns
 
     def run(batches: Iterator) -> Iterator:

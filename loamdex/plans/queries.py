@@ -12,7 +12,7 @@ from ..functions import urls as U
 from ..functions import vectors as V
 from ..operators import frontier, robots, site_index, suffixes
 from ..operators.similarity import LETTERS, PREFIX, guessed, letter_counts, pair_similarity, to_target
-from ..sources.shared import numbered, shared_dir
+from ..sources.shared import numbered, on_workers, shared_dir
 from ..sources.tables import mirrored, pages, suffix_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,6 +233,7 @@ def page_head_quotes(spark, sf_dir):
 @query(f"SELECT page_id, {_of(_TITLE)} AS title, {_of(_DESCRIPTION)} AS description, {_of(_FAVICON)} AS favicon, len({_of(_LINKS)}) AS n_links FROM pages")
 def page_parse(spark, sf_dir):
     """The general form, with an HTML parser, in Arrow batches."""
+    on_workers(spark)
     rows = pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("url"), "html").mapInPandas(H.parse, "url string, title string, description string, favicon string, links array<string>")
     return rows.select(F.col("url").cast("bigint").alias("page_id"), "title", "description", "favicon", F.size("links").cast("bigint").alias("n_links"))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/loamdex-{uuid.uuid4().hex}"
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package, where they share its folder with the driver or have it elsewhere."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def until_the_end(spark: SparkSession, path: str) -> None:
     """A written folder is deleted when the application ends: results may be read from it until then."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
