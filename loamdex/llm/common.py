@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import pickle
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize, shared_dir, until_the_end  # noqa: F401  what operators here use
+from ..sources.shared import materialize, on_workers, shared_dir, until_the_end  # noqa: F401  what operators here use
 
 #: Rows that one Arrow batch may hold: long texts keep a Python worker's memory small.
 BATCH_ROWS = 1000
@@ -24,9 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds an Arrow batch by rows and, where this Spark knows the setting, by bytes; lets workers import this package."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    on_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
