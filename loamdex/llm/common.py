@@ -34,10 +34,15 @@ def split_of(doc_id: Column | str, parts: int) -> Column:
 
 def sample_rows(rows: DataFrame, most: int, *by: str) -> DataFrame:
     """At most so many rows of different `by`, those whose hash of it is lowest: deterministic for given rows, whatever is
-    repeated and however often. Only hashes meet in one task to find the bound; the rows kept are few."""
+    repeated and however often. A task hands on its lowest few hashes only; all distinct ones are dealt out just where repeats
+    of few rows fill those."""
     keyed = rows.withColumn("sample_hash", F.xxhash64(*(F.col(c).cast("string") for c in by), F.lit("sample")))
-    low = keyed.select("sample_hash").distinct().orderBy("sample_hash").limit(most).agg(F.count("*").alias("n"), F.max("sample_hash").alias("h")).first()
-    kept = keyed if low.n < most else keyed.where(F.col("sample_hash") <= F.lit(low.h))
+    lowest = lambda df, n: [r[0] for r in df.select("sample_hash").orderBy("sample_hash").limit(n).collect()]
+    found = lowest(keyed, 4 * most)
+    different = sorted(set(found))
+    if len(different) < most and len(found) == 4 * most:
+        different = lowest(keyed.select("sample_hash").distinct(), most)
+    kept = keyed if len(different) < most else keyed.where(F.col("sample_hash") <= F.lit(different[most - 1]))
     return kept.dropDuplicates(["sample_hash"]).drop("sample_hash")
 
 
