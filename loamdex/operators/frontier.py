@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import origin
 from ..sources.shared import materialize, numbered, shared_dir
-from .robots import allowed
+from .robots import decided, ruled
 
 
 def fresh(found: DataFrame, visited: DataFrame) -> DataFrame:
@@ -33,15 +33,17 @@ def crawl(seeds: DataFrame, links: DataFrame, robots: DataFrame, budget: int = 0
 
     A level of the queue at a time: its URLs are checked against robots, the links of those that may be fetched follow, each
     before its origin, and what is new of them is the next level. It ends when nothing is new or, for a positive budget,
-    after budget + 1 URLs; URLs that robots forbid count too, but are not fetched. A level is written, and numbered by ranges."""
+    after budget + 1 URLs; URLs that robots forbid count too, but are not fetched. A level is written, and numbered by ranges;
+    links and robots are written once, as every level reads them."""
     spark, paths = seeds.sparkSession, []
+    links, rules = materialize(links.select("src", "pos", "url")), ruled(materialize(robots))
     rows = with_origins(seeds.select("url", F.lit(0).cast("bigint").alias("seq")))
     level, n, depth = rows.groupBy("url").agg(F.min(F.struct("seq", "part")).alias("at")), 0, 0
     while True:
         if budget > 0:
             level = level.orderBy("at", "url").limit(budget + 1 - n)
         placed = numbered(level, "place", "at", "url").withColumn("place", F.col("place") + n).withColumn("depth", F.lit(depth))
-        level = _written(allowed(placed, robots).select("url", "place", "depth", F.col("allowed").alias("fetched")), paths)
+        level = _written(decided(placed, rules).select("url", "place", "depth", F.col("allowed").alias("fetched")), paths)
         new = level.count()
         n, depth = n + new, depth + 1
         if new == 0 or (budget > 0 and n > budget):

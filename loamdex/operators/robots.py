@@ -61,9 +61,19 @@ def decision(p: Column, rules: Column) -> Column:
     return F.coalesce(F.get(F.filter(rules, lambda r: matches(p, r["rule"])), F.lit(0))["allow"], F.lit(True))
 
 
-def allowed(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
-    """urls with allowed. robots: origin, http_code, body; a missing or failed file allows all."""
+def ruled(robots: DataFrame) -> DataFrame:
+    """_origin and _rules of robots (origin, http_code, body) that were fetched well, broadcast if their files are small."""
     ok = robots.where((F.col("http_code") < 300) & (F.col("http_code") > 0)).select(F.col("origin").alias("_origin"), parsed(F.col("body"))["rules"].alias("_rules"))
     small = (robots.agg(F.sum(F.octet_length("body") + 64).alias("n")).first().n or 0) <= BROADCAST_BYTES
-    joined = urls.withColumn("_origin", origin(F.col(url))).join(F.broadcast(ok) if small else ok, "_origin", "left")
+    return F.broadcast(ok) if small else ok
+
+
+def decided(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """urls with allowed, by rules as `ruled` gives them; without rules all is allowed."""
+    joined = urls.withColumn("_origin", origin(F.col(url))).join(rules, "_origin", "left")
     return joined.withColumn("allowed", F.coalesce(decision(path(F.col(url)), F.col("_rules")), F.lit(True))).drop("_origin", "_rules")
+
+
+def allowed(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
+    """urls with allowed. robots: origin, http_code, body; a missing or failed file allows all."""
+    return decided(urls, ruled(robots), url)
