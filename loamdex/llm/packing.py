@@ -32,7 +32,7 @@ CAPACITY, END = 4096, 2
 CLASSES, SLACK = 16, 1 / 64
 #: Pieces of a bucket, in which pieces are numbered independently, about; how many buckets there are at least and at most (a
 #: row for each bucket and class is broadcast, 300,000 rows at most).
-BUCKET, LEAST, MOST = 200_000, 64, 16_384
+BUCKET, LEAST, MOST = 200_000, 1024, 16_384
 
 
 def slots(length: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[int, int]]:
