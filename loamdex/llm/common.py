@@ -34,15 +34,17 @@ def split_of(doc_id: Column | str, parts: int) -> Column:
 
 def sample_rows(rows: DataFrame, most: int, *by: str) -> DataFrame:
     """At most so many rows of different `by`, those whose hash of it is lowest: deterministic for given rows, whatever is
-    repeated and however often. A task hands on its lowest few hashes only; all distinct ones are dealt out just where repeats
-    of few rows fill those."""
+    repeated and however often. Hashes are looked at below a bound that about 8 * most rows fall under, so that tasks and driver
+    hold few of them; where repeats leave too few different ones there, the bound is raised."""
     keyed = rows.withColumn("sample_hash", F.xxhash64(*(F.col(c).cast("string") for c in by), F.lit("sample")))
-    lowest = lambda df, n: [r[0] for r in df.select("sample_hash").orderBy("sample_hash").limit(n).collect()]
-    found = lowest(keyed, 4 * most)
-    different = sorted(set(found))
-    if len(different) < most and len(found) == 4 * most:
-        different = lowest(keyed.select("sample_hash").distinct(), most)
-    kept = keyed if len(different) < most else keyed.where(F.col("sample_hash") <= F.lit(different[most - 1]))
+    n, share = keyed.count(), 8 * most
+    while True:
+        bound = 2**63 - 1 if share >= n else (share << 64) // n - 2**63
+        low = keyed.where(F.col("sample_hash") <= F.lit(bound)).select("sample_hash").distinct().orderBy("sample_hash").limit(most).collect()
+        if len(low) == most or share >= n:
+            break
+        share *= 64
+    kept = keyed.where(F.col("sample_hash") <= F.lit(low[-1].sample_hash)) if low else keyed.where("false")
     return kept.dropDuplicates(["sample_hash"]).drop("sample_hash")
 
 
